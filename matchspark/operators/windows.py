@@ -35,26 +35,33 @@ def _flag(cond: Column) -> Column:
     return F.when(cond, 1).otherwise(0).cast("bigint")
 
 
-TOTALS = {
-    "matches": F.lit(1).cast("bigint"),
-    "points_sum": _n("points"),
-    "gf_sum": _n("gf"),
-    "ga_sum": _n("ga"),
-    "shots_sum": _n("shots"),
-    "sot_sum": _n("sot"),
-    "corners_sum": _n("corners"),
-    "yellows_sum": _n("yellows"),
-    "wins": _flag(F.col("gf") > F.col("ga")),
-    "draws": _flag(F.col("gf") == F.col("ga")),
-    "losses": _flag(F.col("gf") < F.col("ga")),
-}
+def totals(prefix: str = "") -> dict[str, Column]:
+    """Summable columns of a team-view row; a missing statistic counts as 0."""
+    out = {
+        "matches": F.lit(1).cast("bigint"),
+        "points_sum": _n("points"),
+        "gf_sum": _n("gf"),
+        "ga_sum": _n("ga"),
+        "shots_sum": _n("shots"),
+        "sot_sum": _n("sot"),
+        "corners_sum": _n("corners"),
+        "yellows_sum": _n("yellows"),
+        "wins": _flag(F.col("gf") > F.col("ga")),
+        "draws": _flag(F.col("gf") == F.col("ga")),
+        "losses": _flag(F.col("gf") < F.col("ga")),
+    }
+    return {f"{prefix}{n}": c for n, c in out.items()}
+
+
+def _one() -> Column:
+    return F.lit(1).cast("bigint")
 
 
-def averages(prefix: str = "", names: Sequence[str] | None = None, totals: str = "") -> dict[str, Column]:
+def averages(prefix: str = "", names: Sequence[str] | None = None, source: str = "") -> dict[str, Column]:
     """Per-match averages from running totals; a debut gives 0 because denominators start at 1."""
 
     def total(name: str) -> Column:
-        return F.col(f"{totals}{name}")
+        return F.col(f"{source}{name}")
 
     games = F.greatest(total("matches"), F.lit(1))
     shots = F.greatest(total("shots_sum"), F.lit(1))
@@ -108,7 +115,7 @@ VENUE = [
 
 
 def _prior(rows: DataFrame, keys: Sequence[str], names: Sequence[str], prefix: str = "") -> DataFrame:
-    summed = totals_before(rows, keys, DAY, IN_DAY, TOTALS)
+    summed = totals_before(rows, keys, DAY, IN_DAY, totals())
     return by_match(summed.select("match_id", "is_home", *[c.alias(n) for n, c in averages(prefix, names).items()]),
                     [f"{prefix}{n}" for n in names])
 
@@ -194,7 +201,7 @@ def rest_days(matches: DataFrame) -> DataFrame:
 
 def matchday(matches: DataFrame) -> DataFrame:
     """Round number: more season matches of the two sides, plus one."""
-    counted = totals_before(team_view(matches), [*TEAM, "season"], DAY, IN_DAY, {"played": TOTALS["matches"]})
+    counted = totals_before(team_view(matches), [*TEAM, "season"], DAY, IN_DAY, {"played": _one()})
     return counted.groupBy("match_id").agg((F.max("played") + 1).alias("matchday"))
 
 
@@ -207,7 +214,7 @@ def season_ages(matches: DataFrame) -> DataFrame:
 
 def promoted_proxy(matches: DataFrame) -> DataFrame:
     """Side with under 15 earlier matches outside the first season; age of the season."""
-    counted = totals_before(team_view(matches), TEAM, DAY, IN_DAY, {"played": TOTALS["matches"]})
+    counted = totals_before(team_view(matches), TEAM, DAY, IN_DAY, {"played": _one()})
     sides = by_match(counted, ["played"], ["league", "season"])
     aged = sides.join(season_ages(matches), ["league", "season"])
     later = F.col("season_age") > 0
@@ -268,7 +275,7 @@ def opponent_strength(matches: DataFrame) -> DataFrame:
     hosts = matches.withColumn("points", points(F.col("fthg"), F.col("ftag")))
     rows = totals_before(
         hosts, ["league", "away_team"], DAY, ["home_team", "match_id"],
-        {"_n": TOTALS["matches"], "_p": _n("points")},
+        {"_n": _one(), "_p": _n("points")},
     )
     return rows.select("match_id", F.when(F.col("_n") > 0, F.col("_p") / F.col("_n")).alias("opp_ppg"))
 

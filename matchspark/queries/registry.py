@@ -15,7 +15,8 @@ _SQL: dict[str, str] = {}
 
 MODULES = [
     "window_queries",
-    # rest follows
+    "rating_queries",
+    "market_queries",
 ]
 
 
@@ -47,7 +48,13 @@ def oracle_sql() -> dict[str, str]:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column, so that sums in another order compare equal."""
+    """Round every double column, so that sums in another order compare equal.
+
+    The tiny shift keeps exact ties such as 0.0000125 on one side in both engines.
+    """
     return df.select(
-        *[F.round(f"`{n}`", digits).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes]
+        *[
+            (F.round(F.col(f"`{n}`") + F.lit(1e-9), digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(f"`{n}`")
+            for n, t in df.dtypes
+        ]
     )

@@ -61,5 +61,10 @@ def sides(columns: dict[str, str], source: str, digits: int | None = 6, keep: st
     for side, flag in (("home", 1), ("away", 0)):
         for name, expr in columns.items():
             value = f"max(CASE WHEN is_home = {flag} THEN {expr} END)"
-            parts.append(f"{value if digits is None else f'round({value}, {digits})'} AS {side}_{name}")
+            parts.append(f"{value if digits is None else r(value, digits)} AS {side}_{name}")
     return f"SELECT match_id, {keep} {', '.join(parts)} FROM {source} GROUP BY match_id"
+
+
+def r(expr: str, digits: int = 6) -> str:
+    """Rounded double. The tiny shift keeps exact ties on one side in both engines."""
+    return f"round(CAST({expr} AS DOUBLE) + 1e-9, {digits}) + 0.0e0"

@@ -132,8 +132,8 @@ hh AS (SELECT match_id,
 @query(
     "h2h_last6",
     fx_sql(
-        """SELECT match_id, round(CASE WHEN ah THEN pa ELSE pb END, 6) AS h2h_home_points_per_match,
-        round(CASE WHEN ah THEN ga WHEN ga = 0 THEN 0 ELSE -ga END, 6) AS h2h_home_goal_diff_per_match,
+        """SELECT match_id, round(CASE WHEN ah THEN pa ELSE pb END + 1e-9, 6) AS h2h_home_points_per_match,
+        round(CASE WHEN ah THEN ga WHEN ga = 0 THEN 0 ELSE -ga END + 1e-9, 6) AS h2h_home_goal_diff_per_match,
         n AS h2h_matches FROM hh""",
         H2H_CTE,
     ),
@@ -204,7 +204,7 @@ ROLL_EXPR = {
     tv_sql(
         "SELECT match_id, team, "
         + ", ".join(
-            f"round(avg({e}) OVER ({TEAM_W} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING), 6) AS {c}_last{w}"
+            f"round(avg({e}) OVER ({TEAM_W} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) + 1e-9, 6) AS {c}_last{w}"
             for c, e in ROLL_EXPR.items()
             for w in (3, 5)
         )
@@ -220,7 +220,7 @@ def rolling_means(spark, folder):
     fx_sql(
         """SELECT match_id, round(avg(CASE WHEN fthg > ftag THEN 3 WHEN fthg = ftag THEN 1 ELSE 0 END) OVER (
         PARTITION BY league, away_team ORDER BY match_date, home_team, match_id
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS opp_ppg FROM m"""
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1e-9, 6) AS opp_ppg FROM m"""
     ),
 )
 def opponent_strength(spark, folder):
@@ -241,7 +241,7 @@ def _form_cte(extra: int) -> str:
 def _form_sql(extra: int) -> str:
     body = sides({"form": "form"}, "wf").replace(
         " FROM wf",
-        """, round(max(CASE WHEN is_home = 1 THEN form END) * max(CASE WHEN is_home = 0 THEN form END), 6)
+        """, round(max(CASE WHEN is_home = 1 THEN form END) * max(CASE WHEN is_home = 0 THEN form END) + 1e-9, 6)
         AS form_x_opponent FROM wf""",
     )
     return tv_sql(body, _form_cte(extra))
@@ -260,7 +260,7 @@ def weighted_form_literal(spark, folder):
 @query(
     "ewm_form",
     tv_sql(
-        "SELECT match_id, team, round(lag(y) OVER (PARTITION BY league, team ORDER BY k), 6) AS ewm_points FROM e",
+        "SELECT match_id, team, round(lag(y) OVER (PARTITION BY league, team ORDER BY k) + 1e-9, 6) AS ewm_points FROM e",
         f"s AS (SELECT *, row_number() OVER ({TEAM_W}) AS k FROM tv)",
         """e AS (SELECT match_id, league, team, k, CAST(points AS DOUBLE) AS y FROM s WHERE k = 1
         UNION ALL SELECT s.match_id, s.league, s.team, s.k, e.y * (1 - 2.0E0 / 6) + s.points * (2.0E0 / 6)
@@ -275,7 +275,7 @@ def ewm_form(spark, folder):
     "tackle_rate",
     tv_sql(
         """SELECT match_id, team, round(sum(sot) OVER w / CAST(CASE WHEN sum(shots) OVER w = 0 THEN 1
-        ELSE sum(shots) OVER w END AS DOUBLE), 6) AS team_rate FROM tv WINDOW w AS (PARTITION BY league, team)"""
+        ELSE sum(shots) OVER w END AS DOUBLE) + 1e-9, 6) AS team_rate FROM tv WINDOW w AS (PARTITION BY league, team)"""
     ),
 )
 def tackle_rate(spark, folder):
@@ -320,12 +320,12 @@ def form_minmatches(spark, folder):
     "h2h_all",
     fx_sql(
         """SELECT a.match_id,
-        round(avg(CASE WHEN b.match_id IS NULL THEN NULL WHEN sg > cg THEN 1 ELSE 0 END), 6) AS h2h_wins,
-        round(avg(CASE WHEN b.match_id IS NULL THEN NULL WHEN sg = cg THEN 1 ELSE 0 END), 6) AS h2h_draws,
-        round(avg(CASE WHEN b.match_id IS NULL THEN NULL WHEN sg < cg THEN 1 ELSE 0 END), 6) AS h2h_losses,
-        round(avg(sg), 6) AS h2h_goals_scored, round(avg(cg), 6) AS h2h_goals_conceded,
-        round(avg(sc), 6) AS h2h_corners_for, round(avg(cc), 6) AS h2h_corners_against,
-        round(avg(sy), 6) AS h2h_yellow_cards
+        round(avg(CASE WHEN b.match_id IS NULL THEN NULL WHEN sg > cg THEN 1 ELSE 0 END) + 1e-9, 6) AS h2h_wins,
+        round(avg(CASE WHEN b.match_id IS NULL THEN NULL WHEN sg = cg THEN 1 ELSE 0 END) + 1e-9, 6) AS h2h_draws,
+        round(avg(CASE WHEN b.match_id IS NULL THEN NULL WHEN sg < cg THEN 1 ELSE 0 END) + 1e-9, 6) AS h2h_losses,
+        round(avg(sg) + 1e-9, 6) AS h2h_goals_scored, round(avg(cg) + 1e-9, 6) AS h2h_goals_conceded,
+        round(avg(sc) + 1e-9, 6) AS h2h_corners_for, round(avg(cc) + 1e-9, 6) AS h2h_corners_against,
+        round(avg(sy) + 1e-9, 6) AS h2h_yellow_cards
         FROM m a LEFT JOIN pair b ON b.league = a.league AND b.t = a.home_team AND b.o = a.away_team
           AND b.match_date < a.match_date GROUP BY a.match_id""",
         """pair AS (SELECT match_id, league, match_date, home_team AS t, away_team AS o, fthg AS sg, ftag AS cg,

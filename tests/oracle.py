@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections import Counter
 
 import duckdb
@@ -36,11 +37,14 @@ def _cell(v):
     return v
 
 
-def differences(spark, con, folder: str, fn, sql: str) -> list[str]:
+def differences(spark, con, folder: str, fn, sql: str, timing: dict | None = None) -> list[str]:
     """Empty when both sides agree."""
+    timing = {} if timing is None else timing
+    start = time.time()
     df = fn(spark, folder)
     names = sorted(df.columns)
     mine = [tuple(_cell(v) for v in r) for r in df.select(*[f"`{n}`" for n in names]).collect()]
+    timing["spark"] = time.time() - start
     described = con.execute(f"DESCRIBE {sql}").fetchall()
     other_types = {r[0]: r[1] for r in described}
     out = []

@@ -28,7 +28,8 @@ def main(args: list[str]) -> int:
             continue
         start = time.time()
         try:
-            found = differences(spark, con, folder, fn, sql[name]) if name in sql else []
+            timing = {}
+            found = differences(spark, con, folder, fn, sql[name], timing) if name in sql else []
             rows = fn(spark, folder).count() if name not in sql else None
             state = "ok" if not found else "FAIL " + " | ".join(found)[:1500]
             if rows is not None:
@@ -36,7 +37,7 @@ def main(args: list[str]) -> int:
         except Exception as e:  # noqa: BLE001
             state = "ERROR " + str(e)[:900]
         bad += not state.startswith(("ok", "rows"))
-        print(f"{name:28s} {time.time() - start:6.1f}s {state}", flush=True)
+        print(f"{name:28s} {timing.get('spark', time.time() - start):6.1f}s of {time.time() - start:5.1f}s {state}", flush=True)
     print("failed:", bad)
     return bad
 
