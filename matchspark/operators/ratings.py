@@ -9,7 +9,7 @@ from matchspark.functions.elo import HOME_EDGE, rate_batches
 from matchspark.operators import market as M
 from matchspark.operators import windows as W
 from matchspark.operators.team_view import by_match, points, team_view
-from matchspark.plans.prior import rows_before, totals_before, totals_before_cell
+from matchspark.plans.prior import CELL, sums_of_last, totals_before, totals_before_cell
 from matchspark.sources.fixtures import ORDER_KEY
 
 def elo_ratings(matches: DataFrame) -> DataFrame:
@@ -39,53 +39,47 @@ def prior_rank(matches: DataFrame) -> DataFrame:
     windowed and folded inside the same partitioning, so no wider row is ever shuffled.
     """
     day = ["league", "season", "match_date"]
-    rows = team_view(matches)
-    gained = {"p": F.col("points").cast("bigint"), "gd": (F.col("gf") - F.col("ga")).cast("bigint"),
-              "g": F.col("gf").cast("bigint"), "n": F.lit(1).cast("bigint")}
-    team_day = rows.groupBy(*day, "team").agg(*[F.sum(e).alias(k) for k, e in gained.items()])
-    roster = team_day.select("league", "season", "team").distinct()
-    dates = team_day.select(*day).distinct()
-    grid = dates.join(roster, ["league", "season"]).join(team_day, [*day, "team"], "left").fillna(0, list(gained))
-    before = totals_before_cell(grid, ["league", "season", "team"], ["match_date"], {k: F.col(k) for k in gained})
-    table = (
-        before.fillna(0, list(gained))
-        .groupBy(*day)
-        .agg(F.collect_list(F.struct("team", *gained)).alias("_table"))
+    gained = ["p", "gd", "g", "n"]
+    team_day = (
+        team_view(matches).groupBy(*day, "team")
+        .agg(F.expr("sum(bigint(points)) AS p"), F.expr("sum(bigint(gf - ga)) AS gd"),
+             F.expr("sum(bigint(gf)) AS g"), F.count("*").alias("n"))
     )
-    base = matches.select("league", "season", *ORDER_KEY, "fthg", "ftag").repartition(*day)
-    met = base.join(table.hint("shuffle_merge"), day).select("*", F.explode("_table").alias("s")).drop("_table")
-    team = F.col("s.team")
-    is_home, is_away = team == F.col("home_team"), team == F.col("away_team")
-    own = F.when(is_home, F.col("fthg")).when(is_away, F.col("ftag"))
-    other = F.when(is_home, F.col("ftag")).when(is_away, F.col("fthg"))
-    change = {
-        "p": F.when(own.isNotNull(), points(own, other)).otherwise(0),
-        "gd": F.coalesce(own - other, F.lit(0)),
-        "g": F.coalesce(own, F.lit(0)),
-        "n": F.when(own.isNotNull(), 1).otherwise(0),
-    }
-    earlier = (
-        Window.partitionBy(*day, "s.team").orderBy("home_team", "away_team", "match_id")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    by_name = Window.partitionBy("league", "season").orderBy("team")
+    roster = team_day.select("league", "season", "team").distinct().withColumn("slot", F.row_number().over(by_name))
+    grid = (
+        team_day.select(*day).distinct().join(roster, ["league", "season"])
+        .join(team_day, [*day, "team"], "left").fillna(0, gained)
     )
-    standing = met.select(
-        *day, "match_id", team.alias("team"), is_home.alias("is_home"), is_away.alias("is_away"),
-        *[(F.col(f"s.{k}") + F.coalesce(F.sum(e).over(earlier), F.lit(0))).alias(k) for k, e in change.items()],
+    before = totals_before_cell(grid, ["league", "season", "team", "slot"], ["match_date"],
+                                {k: F.col(k) for k in gained}).fillna(0, gained)
+    table = before.groupBy(*day).agg(F.collect_list(F.struct("team", "slot", *gained)).alias("_table"))
+    in_day = Window.partitionBy(*day).orderBy("home_team", "away_team", "match_id")
+    base = matches.select("league", "season", *ORDER_KEY, "fthg", "ftag").withColumn("k", F.row_number().over(in_day))
+    # merge join: the day stays the partitioning of everything after it
+    opened = base.join(table.hint("merge"), day).select(
+        *day, "match_id", "k", "home_team", "away_team", "fthg", "ftag", F.explode("_table").alias("s")
     )
-    # negated so that a smaller struct is a better place
-    place = F.struct((-F.col("p")).alias("p"), (-F.col("gd")).alias("gd"), (-F.col("g")).alias("g"), F.col("team"))
-    seen = (F.col("n") > 0) | F.col("is_home") | F.col("is_away")
-    folded = standing.groupBy(*day, "match_id").agg(
-        F.collect_list(F.when(seen, place)).alias("_all"),
-        F.max(F.when(F.col("is_home"), place)).alias("_home"),
-        F.max(F.when(F.col("is_away"), place)).alias("_away"),
+    own = "CASE s.team WHEN home_team THEN fthg WHEN away_team THEN ftag END"
+    other = "CASE s.team WHEN home_team THEN ftag WHEN away_team THEN fthg END"
+    opened = opened.select(
+        *day, "match_id", "k", "s.slot", "s.p", "s.gd", "s.g", "s.n",
+        F.expr("CASE s.team WHEN home_team THEN 1 WHEN away_team THEN 0 END AS is_home"),
+        F.expr(f"{own} AS own"), F.expr(f"{other} AS other"),
     )
-
-    def rank(me: str):
-        return (F.size(F.filter("_all", lambda x: x < F.col(me))) + 1).cast("int")
-
-    ranked = folded.select("match_id", rank("_home").alias("home_season_rank_prior"),
-                           rank("_away").alias("away_season_rank_prior"))
+    earlier = Window.partitionBy(*day, "slot").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    gains = {"p": points(F.col("own"), F.col("other")), "gd": F.col("own") - F.col("other"), "g": F.col("own"),
+             "n": F.lit(1)}
+    standing = opened.select(
+        *day, "match_id", "k", "slot", "is_home",
+        *[(F.col(c) + F.coalesce(F.sum(F.when(F.col("own").isNotNull(), e)).over(earlier), F.lit(0))).alias(c)
+          for c, e in gains.items()],
+    )
+    seen = (F.col("n") > 0) | F.col("is_home").isNotNull()
+    # slots follow the team names, the last tie-break
+    by_place = Window.partitionBy(*day, "k").orderBy(seen.desc(), F.desc("p"), F.desc("gd"), F.desc("g"), "slot")
+    placed = standing.select(*day, "match_id", "is_home", F.row_number().over(by_place).alias("season_rank_prior"))
+    ranked = by_match(placed.filter(F.col("is_home").isNotNull()), ["season_rank_prior"])
     return ranked.withColumn("season_rank_diff", F.col("away_season_rank_prior") - F.col("home_season_rank_prior"))
 
 
@@ -117,24 +111,26 @@ def matchup_columns() -> dict:
 def side_features(matches: DataFrame) -> DataFrame:
     """All per-side features of a match in one pass over the team view.
 
-    The all-time, season and venue totals differ only in their key, so the season and venue
-    totals are conditional running sums where that is possible: each family costs one carry
-    table, and all families share the cell (league, team, date).
+    A cell lies inside one season, so all-time and season totals share the shuffle and the
+    window; the venue totals are the home-only running sums or what is left without them.
     """
-    rows = team_view(matches)
-    summed = totals_before(rows, W.TEAM, W.DAY, W.IN_DAY, W.totals("a_"))
-    summed = totals_before(summed, [*W.TEAM, "season"], W.DAY, W.IN_DAY, W.totals("s_"))
-    summed = totals_before(summed, [*W.TEAM, "is_home"], W.DAY, W.IN_DAY, W.totals("v_"))
-    item = F.struct(*W.RECENT_ITEM, "match_date")
-    looked = rows_before(summed, W.TEAM, W.DAY, W.IN_DAY, 10, item)
-    prior = F.col("prior")
-    gap = F.when(F.size(prior) > 0, F.datediff("match_date", F.element_at(prior, -1)["match_date"])).otherwise(7)
+    rows = W.sides(matches)
+    sums = W.totals()
+    at_home = {f"h_{k}": F.when(F.col("is_home") == 1, e).otherwise(0) for k, e in sums.items()}
+    summed = totals_before(
+        rows, W.TEAM, [CELL], ORDER_KEY, {**sums, **at_home},
+        families={"a_": (), "s_": ("season",)}, latest={"last_date": F.col("match_date")},
+    )
+    looked = sums_of_last(summed, W.TEAM, [CELL], ORDER_KEY, (3, 5, 10), W.RECENT_SUMS)
+    looked = looked.select("*", *[
+        F.expr(f"CASE WHEN is_home = 1 THEN a_h_{k} ELSE a_{k} - a_h_{k} END AS v_{k}") for k in sums
+    ])
     cols = {
         **W.averages("", W.ALL_TIME, "a_"),
         **W.averages("season_", W.SEASON, "s_"),
         **W.averages("venue_", W.VENUE, "v_"),
-        **W.recent_columns(prior, (3, 5, 10)),
-        "rest_days": F.least(gap, F.lit(21)),
+        **W.recent_columns((3, 5, 10)),
+        "rest_days": W.rest_column(),
         "season_played": F.col("s_matches"),
     }
     return by_match(looked.select("match_id", "is_home", *[c.alias(n) for n, c in cols.items()]), list(cols))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchspark.plans.prior import CELL
+
 SIDE_STATS = {
     "gf": ("fthg", "ftag"),
     "ga": ("ftag", "fthg"),
@@ -27,6 +29,7 @@ def points(scored: Column, conceded: Column) -> Column:
 def team_view(matches: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Home and away rows from one scan: each match row is exploded into two structs."""
     base = ["match_id", "league", "season", "match_date", "home_team", "away_team", *keep]
+    base += [c for c in [CELL] if c in matches.columns]
 
     def side(home: bool) -> Column:
         i = 0 if home else 1
@@ -50,7 +53,6 @@ def by_match(rows: DataFrame, columns: Sequence[str], extra: Sequence[str] = ())
 
     Each match has exactly two rows, so this is one shuffle of narrow rows instead of a self-join.
     """
-    home = F.col("is_home") == 1
-    aggs = [F.max(F.when(home, F.col(c))).alias(f"home_{c}") for c in columns]
-    aggs += [F.max(F.when(~home, F.col(c))).alias(f"away_{c}") for c in columns]
+    aggs = [F.expr(f"max(CASE WHEN is_home = 1 THEN `{c}` END) AS `home_{c}`") for c in columns]
+    aggs += [F.expr(f"max(CASE WHEN is_home = 0 THEN `{c}` END) AS `away_{c}`") for c in columns]
     return rows.groupBy("match_id").agg(*[F.max(c).alias(c) for c in extra], *aggs)

@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from matchspark.operators.team_view import by_match, points, team_view
 from matchspark.plans.prior import (
+    CELL,
     array_avg,
     last_n,
     rows_before,
+    sums_of_last,
     tails_before_cell,
     totals_before,
     totals_before_cell,
+    with_cell,
 )
 from matchspark.sources.fixtures import ORDER_KEY
 
@@ -27,6 +30,11 @@ DAY = ["match_date"]
 IN_DAY = ["home_team", "away_team", "match_id"]
 
 
+def sides(matches: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Team view cut into cells."""
+    return team_view(with_cell(matches), keep)
+
+
 def _n(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0)).cast("bigint")
 
@@ -59,31 +67,27 @@ def _one() -> Column:
 
 def averages(prefix: str = "", names: Sequence[str] | None = None, source: str = "") -> dict[str, Column]:
     """Per-match averages from running totals; a debut gives 0 because denominators start at 1."""
-
-    def total(name: str) -> Column:
-        return F.col(f"{source}{name}")
-
-    games = F.greatest(total("matches"), F.lit(1))
-    shots = F.greatest(total("shots_sum"), F.lit(1))
-    on_target = F.greatest(total("sot_sum"), F.lit(1))
+    games = f"greatest({source}matches, 1)"
+    shots = f"greatest({source}shots_sum, 1)"
+    on_target = f"greatest({source}sot_sum, 1)"
     out = {
-        "points_per_match": total("points_sum") / games,
-        "goals_for_per_match": total("gf_sum") / games,
-        "goals_against_per_match": total("ga_sum") / games,
-        "shots_per_match": total("shots_sum") / games,
-        "shots_on_target_per_match": total("sot_sum") / games,
-        "corners_per_match": total("corners_sum") / games,
-        "cards_per_match": total("yellows_sum") / games,
-        "shot_accuracy": total("sot_sum") / shots,
-        "conversion_rate": total("gf_sum") / shots,
-        "goals_per_shot_on_target": total("gf_sum") / on_target,
-        "win_rate": total("wins") / games,
-        "draw_rate": total("draws") / games,
-        "loss_rate": total("losses") / games,
-        "goal_diff_per_match": total("gf_sum") / games - total("ga_sum") / games,
-        "matches_played": total("matches"),
+        "points_per_match": f"{source}points_sum / {games}",
+        "goals_for_per_match": f"{source}gf_sum / {games}",
+        "goals_against_per_match": f"{source}ga_sum / {games}",
+        "shots_per_match": f"{source}shots_sum / {games}",
+        "shots_on_target_per_match": f"{source}sot_sum / {games}",
+        "corners_per_match": f"{source}corners_sum / {games}",
+        "cards_per_match": f"{source}yellows_sum / {games}",
+        "shot_accuracy": f"{source}sot_sum / {shots}",
+        "conversion_rate": f"{source}gf_sum / {shots}",
+        "goals_per_shot_on_target": f"{source}gf_sum / {on_target}",
+        "win_rate": f"{source}wins / {games}",
+        "draw_rate": f"{source}draws / {games}",
+        "loss_rate": f"{source}losses / {games}",
+        "goal_diff_per_match": f"({source}gf_sum - {source}ga_sum) / {games}",
+        "matches_played": f"{source}matches",
     }
-    return {f"{prefix}{n}": c for n, c in out.items() if names is None or n in names}
+    return {f"{prefix}{n}": F.expr(c) for n, c in out.items() if names is None or n in names}
 
 
 ALL_TIME = [
@@ -114,53 +118,62 @@ VENUE = [
 ]
 
 
-def _prior(rows: DataFrame, keys: Sequence[str], names: Sequence[str], prefix: str = "") -> DataFrame:
-    summed = totals_before(rows, keys, DAY, IN_DAY, totals())
-    return by_match(summed.select("match_id", "is_home", *[c.alias(n) for n, c in averages(prefix, names).items()]),
-                    [f"{prefix}{n}" for n in names])
+def _prior(matches: DataFrame, keys: Sequence[str], names: Sequence[str], prefix: str = "") -> DataFrame:
+    summed = totals_before(sides(matches), keys, [CELL], ORDER_KEY, totals())
+    cols = averages(prefix, names)
+    return by_match(summed.select("match_id", "is_home", *[c.alias(n) for n, c in cols.items()]), list(cols))
 
 
 def prior_averages(matches: DataFrame) -> DataFrame:
     """All-time averages of both sides before the match."""
-    return _prior(team_view(matches), TEAM, ALL_TIME)
+    return _prior(matches, TEAM, ALL_TIME)
 
 
 def season_to_date(matches: DataFrame) -> DataFrame:
     """Averages of both sides within the running season."""
-    return _prior(team_view(matches), [*TEAM, "season"], SEASON, "season_")
+    return _prior(matches, [*TEAM, "season"], SEASON, "season_")
 
 
 def venue_form(matches: DataFrame) -> DataFrame:
     """Home side at home, away side away."""
-    return _prior(team_view(matches), [*TEAM, "is_home"], VENUE, "venue_")
+    return _prior(matches, [*TEAM, "is_home"], VENUE, "venue_")
 
 
-RECENT_ITEM = ["points", "gf", "ga", "sot", "corners"]
+RECENT_SUMS = {
+    "p": "points",
+    "gd": "gf - ga",
+    "st": "coalesce(sot, 0)",
+    "co": "coalesce(corners, 0)",
+}
 
 
-def recent_columns(prior: Column, windows: Sequence[int]) -> dict[str, Column]:
-    """Form over the last ``n`` entries; without history points are 1.0 and the rest 0."""
+def recent_columns(windows: Sequence[int]) -> dict[str, Column]:
+    """Form from window sums; without history points are 1.0 and the rest 0."""
     out = {}
     for n in windows:
-        near = last_n(prior, n)
-        out[f"recent_{n}_points_per_match"] = array_avg(near, lambda x: x["points"], F.lit(1.0))
-        out[f"recent_{n}_goal_diff"] = array_avg(near, lambda x: x["gf"] - x["ga"], F.lit(0.0))
-        out[f"recent_{n}_shots_on_target"] = array_avg(near, lambda x: F.coalesce(x["sot"], F.lit(0)), F.lit(0.0))
-        out[f"recent_{n}_corners"] = array_avg(near, lambda x: F.coalesce(x["corners"], F.lit(0)), F.lit(0.0))
+        for source, name, default in (
+            ("p", "points_per_match", 1.0),
+            ("gd", "goal_diff", 0.0),
+            ("st", "shots_on_target", 0.0),
+            ("co", "corners", 0.0),
+        ):
+            out[f"recent_{n}_{name}"] = F.expr(
+                f"CASE WHEN count_{n} > 0 THEN {source}_{n} / count_{n} ELSE {default}D END"
+            )
     return out
 
 
 def recent_form(matches: DataFrame, windows: Sequence[int] = (3, 5, 10)) -> DataFrame:
     """Last-n form of both sides over all venues and seasons."""
-    looked = rows_before(team_view(matches), TEAM, DAY, IN_DAY, max(windows), F.struct(*RECENT_ITEM))
-    cols = recent_columns(F.col("prior"), windows)
+    looked = sums_of_last(sides(matches), TEAM, [CELL], ORDER_KEY, windows, RECENT_SUMS)
+    cols = recent_columns(windows)
     return by_match(looked.select("match_id", "is_home", *[c.alias(n) for n, c in cols.items()]), list(cols))
 
 
 def _oriented(matches: DataFrame, *keep: str) -> DataFrame:
     """Pair key plus the result seen from the alphabetically first side of the pair."""
     first_home = F.col("home_team") < F.col("away_team")
-    return matches.select(
+    return with_cell(matches).select(CELL, 
         "match_id", "league", "season", "match_date", "home_team", "away_team", *keep,
         F.least("home_team", "away_team").alias("team_a"),
         F.greatest("home_team", "away_team").alias("team_b"),
@@ -173,7 +186,7 @@ def _oriented(matches: DataFrame, *keep: str) -> DataFrame:
 def h2h_last6(matches: DataFrame) -> DataFrame:
     """Last six meetings of the pair, seen from today's home side."""
     rows = rows_before(
-        _oriented(matches), ["league", "team_a", "team_b"], DAY, IN_DAY, 6, F.struct("a_goals", "b_goals")
+        _oriented(matches), ["league", "team_a", "team_b"], [CELL], ORDER_KEY, 6, F.struct("a_goals", "b_goals")
     )
     a_home = F.col("a_home") == 1
 
@@ -194,14 +207,19 @@ def h2h_last6(matches: DataFrame) -> DataFrame:
 
 def rest_days(matches: DataFrame) -> DataFrame:
     """Days since the last match of each side in any season; first match 7, at most 21."""
-    looked = rows_before(team_view(matches), TEAM, DAY, IN_DAY, 1, F.col("match_date"))
-    gap = F.when(F.size("prior") > 0, F.datediff("match_date", F.get("prior", F.lit(0)))).otherwise(7)
-    return by_match(looked.select("match_id", "is_home", F.least(gap, F.lit(21)).alias("rest_days")), ["rest_days"])
+    looked = totals_before(
+        sides(matches), TEAM, [CELL], ORDER_KEY, {}, latest={"last_date": F.col("match_date")}
+    )
+    return by_match(looked.select("match_id", "is_home", rest_column().alias("rest_days")), ["rest_days"])
+
+
+def rest_column() -> Column:
+    return F.expr("least(coalesce(datediff(match_date, last_date), 7), 21)")
 
 
 def matchday(matches: DataFrame) -> DataFrame:
     """Round number: more season matches of the two sides, plus one."""
-    counted = totals_before(team_view(matches), [*TEAM, "season"], DAY, IN_DAY, {"played": _one()})
+    counted = totals_before(sides(matches), [*TEAM, "season"], [CELL], ORDER_KEY, {"played": _one()})
     return counted.groupBy("match_id").agg((F.max("played") + 1).alias("matchday"))
 
 
@@ -214,9 +232,9 @@ def season_ages(matches: DataFrame) -> DataFrame:
 
 def promoted_proxy(matches: DataFrame) -> DataFrame:
     """Side with under 15 earlier matches outside the first season; age of the season."""
-    counted = totals_before(team_view(matches), TEAM, DAY, IN_DAY, {"played": _one()})
-    sides = by_match(counted, ["played"], ["league", "season"])
-    aged = sides.join(season_ages(matches), ["league", "season"])
+    counted = totals_before(sides(matches), TEAM, [CELL], ORDER_KEY, {"played": _one()})
+    both = by_match(counted, ["played"], ["league", "season"])
+    aged = both.join(season_ages(matches), ["league", "season"])
     later = F.col("season_age") > 0
     return aged.select(
         "match_id",
@@ -228,7 +246,7 @@ def promoted_proxy(matches: DataFrame) -> DataFrame:
 
 def asof_state(matches: DataFrame) -> DataFrame:
     """As-of lookup: opponent and goals of each side's latest strictly earlier match."""
-    looked = rows_before(team_view(matches), TEAM, DAY, IN_DAY, 1, F.struct("opponent", "gf", "match_date"))
+    looked = rows_before(sides(matches), TEAM, [CELL], ORDER_KEY, 1, F.struct("opponent", "gf", "match_date"))
     last = F.get("prior", F.lit(0))
     return looked.select(
         "match_id",
@@ -260,8 +278,8 @@ ROLLING = ["gf", "ga", "corners", "yellows", "shot_accuracy"]
 
 def rolling_means(matches: DataFrame, windows: Sequence[int] = (3, 5)) -> DataFrame:
     """Mean of the non-NULL values among the last w earlier home matches of each host."""
-    hosts = with_ratios(team_view(matches)).filter(F.col("is_home") == 1)
-    looked = rows_before(hosts, TEAM, DAY, IN_DAY, max(windows), F.struct(*ROLLING))
+    hosts = with_ratios(sides(matches)).filter(F.col("is_home") == 1)
+    looked = rows_before(hosts, TEAM, [CELL], ORDER_KEY, max(windows), F.struct(*ROLLING))
 
     def mean(field: str, w: int) -> Column:
         known = F.filter(last_n(F.col("prior"), w), lambda x: x[field].isNotNull())
@@ -272,9 +290,9 @@ def rolling_means(matches: DataFrame, windows: Sequence[int] = (3, 5)) -> DataFr
 
 def opponent_strength(matches: DataFrame) -> DataFrame:
     """Expanding mean of the points hosts took from this opponent before; NULL at first."""
-    hosts = matches.withColumn("points", points(F.col("fthg"), F.col("ftag")))
+    hosts = with_cell(matches).withColumn("points", points(F.col("fthg"), F.col("ftag")))
     rows = totals_before(
-        hosts, ["league", "away_team"], DAY, ["home_team", "match_id"],
+        hosts, ["league", "away_team"], [CELL], ORDER_KEY,
         {"_n": _one(), "_p": _n("points")},
     )
     return rows.select("match_id", F.when(F.col("_n") > 0, F.col("_p") / F.col("_n")).alias("opp_ppg"))
@@ -292,7 +310,7 @@ def weighted_form(matches: DataFrame, literal: bool = False) -> DataFrame:
     first n + 1 weights. ``xg_diff`` is the goal difference of the row, ``form_x_opponent`` the form times
     the opponent's form.
     """
-    looked = rows_before(team_view(matches), TEAM, DAY, IN_DAY, 5, F.col("points"))
+    looked = rows_before(sides(matches), TEAM, [CELL], ORDER_KEY, 5, F.col("points"))
     newest = F.reverse("prior")
     weights = F.array(*[F.lit(w) for w in FORM_WEIGHTS])
     used = F.size(newest)
@@ -301,8 +319,8 @@ def weighted_form(matches: DataFrame, literal: bool = False) -> DataFrame:
     total = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)
     norm = F.aggregate(F.slice(weights, 1, slots), F.lit(0.0), lambda a, x: a + x)
     form = F.when(used > 0, total / norm)
-    sides = by_match(looked.select("match_id", "is_home", form.alias("form")), ["form"])
-    return sides.withColumn("form_x_opponent", F.col("home_form") * F.col("away_form"))
+    both = by_match(looked.select("match_id", "is_home", form.alias("form")), ["form"])
+    return both.withColumn("form_x_opponent", F.col("home_form") * F.col("away_form"))
 
 
 def ewm_form(matches: DataFrame, span: int = 5) -> DataFrame:
@@ -313,7 +331,7 @@ def ewm_form(matches: DataFrame, span: int = 5) -> DataFrame:
     """
     alpha = 2.0 / (span + 1)
     depth = 100
-    looked = rows_before(team_view(matches), TEAM, DAY, IN_DAY, depth, F.col("points"))
+    looked = rows_before(sides(matches), TEAM, [CELL], ORDER_KEY, depth, F.col("points"))
     prior = F.col("prior")
     start = F.get(prior, F.lit(0)).cast("double")
     rest = F.slice(prior, 2, F.greatest(F.size(prior) - 1, F.lit(0)))

@@ -6,6 +6,9 @@ is summarised first (partial aggregation before the shuffle), the short table of
 window over the key, and rows only meet rows of their own cell. A key that holds a third of the
 data is thus spread over as many tasks as it has cells.
 
+The joins carry a merge hint: the rows are partitioned and sorted by (key, cell) for the window
+anyway, so only the short side moves.
+
 ``keys`` and ``cell`` columns must not be NULL; ``order`` must be total inside a cell.
 """
 
@@ -17,6 +20,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+CELL = "_cell"
+
+
+def cell_grain(df: DataFrame) -> str:
+    """How finely to cut a key by time, from the size the optimizer sees.
+
+    Chosen so that a key with a third of all rows over a few years leaves some hundred
+    megabytes per cell: months, then days, then single pairings of a day.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 64 * 2**30:
+        return "month"
+    return "day" if size < 2 * 2**40 else "pairing"
+
+
+def with_cell(matches: DataFrame, grain: str | None = None) -> DataFrame:
+    """Add the cell column: season plus a prefix of the match order at the given grain.
+
+    Seasons of a league follow one another in time, so season-first order is date order.
+    """
+    grain = grain or cell_grain(matches)
+    parts = {
+        "month": [F.trunc("match_date", "month").alias("d")],
+        "day": [F.col("match_date").alias("d")],
+        "pairing": [F.col("match_date").alias("d"), "home_team", "away_team"],
+    }[grain]
+    return matches.withColumn(CELL, F.struct("season", *parts))
+
+
 def last_n(values: Column, n: int | Column) -> Column:
     """Last ``n`` entries of an array, all of it when shorter."""
     n = F.lit(n) if isinstance(n, int) else n
@@ -29,18 +61,90 @@ def totals_before(
     cell: Sequence[str],
     order: Sequence[str],
     totals: Mapping[str, Column],
+    families: Mapping[str, Sequence[str]] | None = None,
+    latest: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Add, for each name in ``totals``, the sum over all earlier rows of the same key."""
-    by_cell = df.groupBy(*keys, *cell).agg(*[F.sum(e).alias(n) for n, e in totals.items()])
-    earlier_cells = Window.partitionBy(*keys).orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
-    carry = by_cell.select(
-        *keys, *cell, *[F.coalesce(F.sum(n).over(earlier_cells), F.lit(0)).alias(f"_c_{n}") for n in totals]
+    """Add, for each name in ``totals``, the sum over all earlier rows of the same key.
+
+    ``families`` maps a column prefix to further keys that are constant inside a cell, such as
+    the season: all families share the one shuffle, the one window and the one join.
+    ``latest`` columns grow with the order; their last earlier value is added under the name.
+    """
+    families = families or {"": ()}
+    latest = latest or {}
+    extra = sorted({c for cols in families.values() for c in cols})
+    by_cell = df.groupBy(*keys, *cell).agg(
+        *[F.sum(e).alias(n) for n, e in totals.items()],
+        *[F.max(e).alias(n) for n, e in latest.items()],
+        *[F.max(c).alias(c) for c in extra],
     )
+
+    def earlier_cells(more: Sequence[str]):
+        return Window.partitionBy(*keys, *more).orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+
+    carried = [
+        F.coalesce(F.sum(n).over(earlier_cells(more)), F.lit(0)).alias(f"_c_{prefix}{n}")
+        for prefix, more in families.items()
+        for n in totals
+    ]
+    carried += [F.max(n).over(earlier_cells(())).alias(f"_c_{n}") for n in latest]
+    carry = by_cell.select(*keys, *cell, *carried)
     in_cell = Window.partitionBy(*keys, *cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.select("*", *[F.coalesce(F.sum(e).over(in_cell), F.lit(0)).alias(f"_r_{n}") for n, e in totals.items()])
-    return rows.join(carry, [*keys, *cell]).select(
-        *df.columns, *[(F.col(f"_c_{n}") + F.col(f"_r_{n}")).alias(n) for n in totals]
+    rows = df.select(
+        "*",
+        *[F.coalesce(F.sum(e).over(in_cell), F.lit(0)).alias(f"_r_{n}") for n, e in totals.items()],
+        *[F.max(e).over(in_cell).alias(f"_r_{n}") for n, e in latest.items()],
+    )
+    added = [F.expr(f"`_c_{p}{n}` + `_r_{n}` AS `{p}{n}`") for p in families for n in totals]
+    added += [F.expr(f"coalesce(`_r_{n}`, `_c_{n}`) AS `{n}`") for n in latest]
+    return rows.join(carry.hint("merge"), [*keys, *cell]).select(*df.columns, *added)
+
+
+def sums_of_last(
+    df: DataFrame,
+    keys: Sequence[str],
+    cell: Sequence[str],
+    order: Sequence[str],
+    windows: Sequence[int],
+    fields: Mapping[str, str],
+) -> DataFrame:
+    """Add ``<name>_<n>`` (sum over the last n earlier rows) and ``count_<n>`` for each window n.
+
+    ``fields`` maps a name to SQL text without NULLs. Inside the cell a window sum is the
+    difference of two running sums; what is missing comes from suffix sums of the earlier
+    cells' last rows, so no list is built per row.
+    """
+    depth = max(windows)
+    item = F.struct(*[F.expr(e).cast("double").alias(n) for n, e in fields.items()])
+    state = tails_before_cell(df, keys, cell, order, depth, item, "_tail")
+
+    def suffix(j: Column) -> Column:
+        near = last_n(F.col("_tail"), j)
+        return F.struct(*[array_sum(near, lambda x, n=n: x[n]).alias(n) for n in fields])
+
+    state = state.select(
+        *keys,
+        *cell,
+        F.when(F.size("_tail") > 0, F.transform(F.sequence(F.lit(1), F.size("_tail")), suffix)).alias("_suffix"),
+    )
+    in_cell = Window.partitionBy(*keys, *cell).orderBy(*order)
+    running = in_cell.rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.select(
+        "*",
+        (F.row_number().over(in_cell) - 1).alias("_k"),
+        *[F.coalesce(F.sum(F.expr(e).cast("double")).over(running), F.lit(0.0)).alias(f"_r_{n}") for n, e in fields.items()],
+    )
+    rows = rows.select(
+        "*", *[F.lag(f"_r_{n}", w).over(in_cell).alias(f"_l_{n}_{w}") for n in fields for w in windows]
     )
+    joined = rows.join(state.hint("merge"), [*keys, *cell])
+    added = []
+    for w in windows:
+        added.append(F.expr(f"least({w}, _k + coalesce(array_size(_suffix), 0)) AS count_{w}"))
+        for n in fields:
+            older = f"coalesce(try_element_at(_suffix, least({w} - _k, array_size(_suffix))).{n}, 0D)"
+            added.append(F.expr(f"_r_{n} + CASE WHEN _k >= {w} THEN -_l_{n}_{w} ELSE {older} END AS {n}_{w}"))
+    return joined.select(*df.columns, *added)
 
 
 def totals_before_cell(
@@ -96,7 +200,7 @@ def rows_before(
     state = tails_before_cell(df, keys, cell, order, n, item, "_state")
     in_cell = Window.partitionBy(*keys, *cell).orderBy(*order).rowsBetween(-n, -1)
     rows = df.withColumn("_near", F.collect_list(item).over(in_cell))
-    return rows.join(state, [*keys, *cell]).select(
+    return rows.join(state.hint("merge"), [*keys, *cell]).select(
         *df.columns, last_n(F.concat("_state", "_near"), n).alias(name)
     )
 

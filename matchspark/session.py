@@ -19,6 +19,7 @@ def local_session(cores: str = "8", app: str = "matchspark") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
