@@ -47,7 +47,7 @@ def exact_quantiles(
     keys = list(keys)
     ranked = value_ranks(df, keys, value, {"_n": F.lit(1)})
     size = ranked.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-    joined = ranked.join(size, keys) if keys else ranked.crossJoin(F.broadcast(size))
+    joined = ranked.join(size, keys) if keys else ranked.withColumn("_all", size.scalar())
     v = F.col(value).cast("double")
 
     def at(rank: Column) -> Column:

@@ -17,6 +17,9 @@ MODULES = [
     "window_queries",
     "rating_queries",
     "market_queries",
+    "scalar_queries",
+    "quality_queries",
+    "join_queries",
 ]
 
 
