@@ -20,6 +20,10 @@ MODULES = [
     "scalar_queries",
     "quality_queries",
     "join_queries",
+    "split_queries",
+    "evaluation_queries",
+    "aggregate_queries",
+    "monitor_queries",
 ]
 
 
