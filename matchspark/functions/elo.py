@@ -19,7 +19,7 @@ def elo_step(home: float, away: float, home_goals: int, away_goals: int) -> floa
 
 
 def rate_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    ratings: dict[tuple[str, str], float] = {}
+    ratings: dict[str, float] = {}
     current = None
     for batch in batches:
         home_out, away_out = [], []
@@ -37,3 +37,37 @@ def rate_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ratings[home] = h + moved
             ratings[away] = a - moved
         yield pd.DataFrame({"match_id": batch["match_id"], "home_elo": home_out, "away_elo": away_out})
+
+
+def rate_with_state(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Like :func:`rate_batches`, with ratings coming in as rows of kind 0 and going out the same way."""
+    ratings: dict[str, float] = {}
+    current = None
+
+    def flush() -> pd.DataFrame:
+        return pd.DataFrame({
+            "league": current, "kind": 0, "match_id": None, "home_team": list(ratings), "away_team": "",
+            "home_elo": list(ratings.values()), "away_elo": None,
+        })
+
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            if row.league != current:
+                if ratings:
+                    yield flush()
+                ratings = {}
+                current = row.league
+            if row.kind == 0:
+                ratings[row.home_team] = row.rating
+                continue
+            h = ratings.get(row.home_team, ELO_START)
+            a = ratings.get(row.away_team, ELO_START)
+            out.append((row.league, 1, row.match_id, row.home_team, row.away_team, h, a))
+            moved = elo_step(h, a, row.fthg, row.ftag)
+            ratings[row.home_team] = h + moved
+            ratings[row.away_team] = a - moved
+        if out:
+            yield pd.DataFrame(out, columns=["league", "kind", "match_id", "home_team", "away_team", "home_elo", "away_elo"])
+    if ratings:
+        yield flush()

@@ -73,14 +73,14 @@ def ks_drift(rows: DataFrame, recent: int = 100) -> DataFrame:
         F.sort_array(F.collect_set("predicted")).alias("steps"), F.count("*").alias("n_new"),
         F.min("event_id").alias("from_id"),
     )
-    old = rows.select("target", "event_id", "predicted").join(F.broadcast(steps), "target").filter(
+    old = rows.select("target", "event_id", "predicted").join(steps, "target").filter(
         F.col("event_id") < F.col("from_id")
     )
     # 2i = equal to step i, 2i - 1 = between step i - 1 and step i
     above = F.size(F.filter("steps", lambda s: s < F.col("predicted")))
     slot = F.when(F.array_contains("steps", F.col("predicted")), 2 * above).otherwise(2 * above - 1)
     old_counts = old.groupBy("target", slot.alias("slot")).agg(F.count("*").alias("n_old"))
-    new_counts = new.join(F.broadcast(steps), "target").groupBy(
+    new_counts = new.join(steps, "target").groupBy(
         "target", (2 * (F.array_position("steps", F.col("predicted")) - 1)).cast("int").alias("slot")
     ).agg(F.count("*").alias("n"))
     both = old_counts.select("target", "slot", F.col("n_old").alias("o"), F.lit(0).cast("bigint").alias("c")).unionByName(

@@ -24,6 +24,9 @@ MODULES = [
     "evaluation_queries",
     "aggregate_queries",
     "monitor_queries",
+    "source_queries",
+    "model_queries",
+    "stream_queries",
 ]
 
 
