@@ -83,29 +83,28 @@ def prior_rank(matches: DataFrame) -> DataFrame:
     return ranked.withColumn("season_rank_diff", F.col("away_season_rank_prior") - F.col("home_season_rank_prior"))
 
 
-def matchup_columns() -> dict:
-    """Home-minus-away differences and short-rest flags over an assembled feature row."""
-
-    def diff(c: str):
-        return F.col(f"home_{c}") - F.col(f"away_{c}")
-
-    return {
-        "rest_days_diff": diff("rest_days"),
-        "short_rest_home": F.when(F.col("home_rest_days") <= 3, 1.0).otherwise(0.0),
-        "short_rest_away": F.when(F.col("away_rest_days") <= 3, 1.0).otherwise(0.0),
-        "points_ppm_diff": diff("points_per_match"),
-        "win_rate_diff": diff("win_rate"),
-        "goal_diff_ppm_diff": diff("goals_for_per_match") - diff("goals_against_per_match"),
-        "shots_on_target_ppm_diff": diff("shots_on_target_per_match"),
-        "corners_ppm_diff": diff("corners_per_match"),
-        "conversion_rate_diff": diff("conversion_rate"),
-        "season_points_ppm_diff": diff("season_points_per_match"),
-        "season_goal_diff_ppm_diff": diff("season_goal_diff_per_match"),
-        "recent_5_points_diff": diff("recent_5_points_per_match"),
-        "recent_5_goal_diff_diff": diff("recent_5_goal_diff"),
-        "recent_10_points_diff": diff("recent_10_points_per_match"),
-        "recent_10_goal_diff_diff": diff("recent_10_goal_diff"),
-    }
+def _diff(c: str) -> str:
+    return f"home_{c} - away_{c}"
+
+
+MATCHUP = {
+    "rest_days_diff": _diff("rest_days"),
+    "short_rest_home": "CASE WHEN home_rest_days <= 3 THEN 1D ELSE 0D END",
+    "short_rest_away": "CASE WHEN away_rest_days <= 3 THEN 1D ELSE 0D END",
+    "points_ppm_diff": _diff("points_per_match"),
+    "win_rate_diff": _diff("win_rate"),
+    "goal_diff_ppm_diff": f"({_diff('goals_for_per_match')}) - ({_diff('goals_against_per_match')})",
+    "shots_on_target_ppm_diff": _diff("shots_on_target_per_match"),
+    "corners_ppm_diff": _diff("corners_per_match"),
+    "conversion_rate_diff": _diff("conversion_rate"),
+    "season_points_ppm_diff": _diff("season_points_per_match"),
+    "season_goal_diff_ppm_diff": _diff("season_goal_diff_per_match"),
+    "recent_5_points_diff": _diff("recent_5_points_per_match"),
+    "recent_5_goal_diff_diff": _diff("recent_5_goal_diff"),
+    "recent_10_points_diff": _diff("recent_10_points_per_match"),
+    "recent_10_goal_diff_diff": _diff("recent_10_goal_diff"),
+}
+"""Home-minus-away differences and short-rest flags over an assembled feature row."""
 
 
 def side_features(matches: DataFrame) -> DataFrame:
@@ -165,14 +164,15 @@ def temporal_features(matches: DataFrame) -> DataFrame:
         "away_recent_points_per_match": F.col("away_recent_5_points_per_match"),
         "home_recent_goal_diff": F.col("home_recent_5_goal_diff"),
         "away_recent_goal_diff": F.col("away_recent_5_goal_diff"),
-        **matchup_columns(),
+        **{n: F.expr(e) for n, e in MATCHUP.items()},
     })
     return derived.select(*LABELS, *feature_columns())
 
 
 def feature_columns() -> list[str]:
     """Order of the feature vector."""
-    both = [f"{s}_{c}" for c in W.ALL_TIME for s in ("home", "away")]
+    vector = [c for c in W.ALL_TIME if c != "goals_per_shot_on_target"]
+    both = [f"{s}_{c}" for c in vector for s in ("home", "away")]
     season = [f"{s}_season_{c}" for c in W.SEASON for s in ("home", "away")]
     venue = [f"home_{c}" for c in HOME_ONLY] + [f"away_{c}" for c in AWAY_ONLY]
     recent = [f"{s}_recent_{c}" for s in ("home", "away") for c in ("points_per_match", "goal_diff")]
@@ -182,6 +182,6 @@ def feature_columns() -> list[str]:
         "matchday", "home_elo", "away_elo", "elo_diff", "home_rest_days", "away_rest_days",
         "home_season_rank_prior", "away_season_rank_prior", "season_rank_diff",
         "h2h_home_points_per_match", "h2h_home_goal_diff_per_match", "h2h_matches",
-        *M.MARKET_COLUMNS, *both, *season, *venue, *recent, *matchup_columns(),
+        *M.MARKET_COLUMNS, *both, *season, *venue, *recent, *MATCHUP,
         "is_home_promoted_proxy", "is_away_promoted_proxy", "season_age",
     ]

@@ -127,7 +127,7 @@ def _matchup_select() -> str:
 )
 def matchup_diffs(spark, folder):
     features = R.side_features(contests(spark, folder))
-    return rounded(features.select("match_id", *[c.alias(n) for n, c in R.matchup_columns().items()]))
+    return rounded(features.select("match_id", *[F.expr(e).alias(n) for n, e in R.MATCHUP.items()]))
 
 
 FEATURE_SQL = {
