@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchspark.plans.prior import CELL
@@ -51,8 +51,13 @@ def team_view(matches: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 def by_match(rows: DataFrame, columns: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """Fold team-view rows back to one row per match with ``home_<c>`` and ``away_<c>`` columns.
 
-    Each match has exactly two rows, so this is one shuffle of narrow rows instead of a self-join.
+    Each match has exactly two rows: after one shuffle on the match the home row takes its
+    columns' away values from the row that follows it, instead of a self-join.
     """
-    aggs = [F.expr(f"max(CASE WHEN is_home = 1 THEN `{c}` END) AS `home_{c}`") for c in columns]
-    aggs += [F.expr(f"max(CASE WHEN is_home = 0 THEN `{c}` END) AS `away_{c}`") for c in columns]
-    return rows.groupBy("match_id").agg(*[F.max(c).alias(c) for c in extra], *aggs)
+    pair = Window.partitionBy("match_id").orderBy(F.desc("is_home"))
+    both = rows.select("match_id", "is_home", *extra, *columns, F.lead(F.struct(*columns)).over(pair).alias("_away"))
+    return both.filter("is_home = 1").select(
+        "match_id", *extra,
+        *[F.expr(f"`{c}` AS `home_{c}`") for c in columns],
+        *[F.expr(f"_away.`{c}` AS `away_{c}`") for c in columns],
+    )

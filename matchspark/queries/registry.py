@@ -60,11 +60,13 @@ def oracle_sql() -> dict[str, str]:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column, so that sums in another order compare equal.
 
-    The tiny shift keeps exact ties such as 0.0000125 on one side in both engines.
+    The tiny shift keeps exact ties such as 0.0000125 on one side in both engines; ``rint`` stays
+    in primitive arithmetic where ``round`` would build a decimal per value.
     """
+    scale = f"{10**digits}D"
     return df.select(
         *[
-            (F.round(F.col(f"`{n}`") + F.lit(1e-9), digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(f"`{n}`")
+            F.expr(f"rint((`{n}` + 1e-9D) * {scale}) / {scale} + 0D AS `{n}`") if t == "double" else F.col(f"`{n}`")
             for n, t in df.dtypes
         ]
     )
