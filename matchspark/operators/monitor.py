@@ -185,8 +185,10 @@ def kendall_trend(daily: DataFrame) -> DataFrame:
     ranked = daily.select(
         "target", F.row_number().over(by_day).alias("i"), (F.dense_rank().over(by_value) - 1).alias("v")
     )
-    bits = ranked.select(
-        "target", "i", "v", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("b")
+    top = F.max("v").over(Window.partitionBy("target"))
+    last_bit = F.floor(F.log2(F.greatest(top, F.lit(1)))).cast("int")
+    bits = ranked.withColumn("_last", last_bit).select(
+        "target", "i", "v", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("b")
     ).select(
         "target", "i", "b", F.expr("shiftright(v, b + 1)").alias("head"), F.expr("shiftright(v, b) & 1").alias("bit")
     )

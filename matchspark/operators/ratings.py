@@ -50,6 +50,7 @@ def prior_rank(matches: DataFrame) -> DataFrame:
     grid = (
         team_day.select(*day).distinct().join(roster, ["league", "season"])
         .join(team_day, [*day, "team"], "left").fillna(0, gained)
+        .repartition("league", "season", "team")
     )
     before = totals_before_cell(grid, ["league", "season", "team", "slot"], ["match_date"],
                                 {k: F.col(k) for k in gained}).fillna(0, gained)

@@ -29,6 +29,8 @@ def cell_grain(df: DataFrame) -> str:
     Chosen so that a key with a third of all rows over a few years leaves some hundred
     megabytes per cell: months, then days, then single pairings of a day.
     """
+    if not hasattr(df, "_jdf"):  # a remote client does not see the plan's statistics
+        return "day"
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size < 64 * 2**30:
         return "month"

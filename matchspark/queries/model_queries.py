@@ -70,6 +70,7 @@ def _fit_table(spark, folder, families):
         metrics = E.class_metrics(rows, [], "ftr", "predicted")
         loss = E.log_loss(rows, [], F.expr("CASE ftr WHEN 'H' THEN p_h WHEN 'D' THEN p_d ELSE p_a END"))
         out.append(metrics.withColumn("log_loss", loss.scalar()).withColumn("model", F.lit(family)))
+    train.unpersist()
     return rounded(reduce(lambda a, b: a.unionByName(b), out))
 
 
@@ -112,6 +113,7 @@ def fit_regressors(spark, folder):
         model = M.regression_pipeline(FEATURES, "fthg", M.regressor(family, n)).fit(train)
         rows = model.transform(test).select("fthg", "prediction")
         out.append(E.regression_metrics(rows, [], "fthg", "prediction").withColumn("model", F.lit(family)))
+    train.unpersist()
     return rounded(reduce(lambda a, b: a.unionByName(b), out))
 
 
@@ -127,9 +129,11 @@ def feature_select(spark, folder):
     spread = ridge.agg(F.stddev_pop("weight")).scalar()
     l1 = M.LogisticRegression(maxIter=30, regParam=0.01, elasticNetParam=1.0, weightCol="weight")
     logistic = M.coefficients(M.regression_pipeline(FEATURES, "y", l1).fit(train).stages[-1], FEATURES)
+    lasso = linear("lasso")
     kept = M.recursive_elimination(train, FEATURES, "fthg", len(FEATURES) // 2, 3)
+    train.unpersist()
     chosen = [
-        linear("lasso").filter(F.abs("weight") > 1e-5).withColumn("method", F.lit("lasso")),
+        lasso.filter(F.abs("weight") > 1e-5).withColumn("method", F.lit("lasso")),
         ridge.filter(F.abs("weight") > 0.1 * spread).withColumn("method", F.lit("ridge")),
         logistic.filter("weight <> 0").withColumn("method", F.lit("l1_logistic")),
         ridge.filter(F.col("feature").isin(kept)).withColumn("method", F.lit("elimination")),
@@ -152,6 +156,7 @@ def permutation_importance(spark, folder):
     rows = [(c, v, None) for c, v in single.items()]
     a, b = FEATURES[0], FEATURES[3]
     joint = rise(a, b)
+    test.unpersist()
     rows.append((f"{a} x {b}", joint, joint - single[a] - single[b]))
     return rounded(spark.createDataFrame(rows, "feature string, importance double, interaction double"))
 
