@@ -143,7 +143,7 @@ def dq_scores(df: DataFrame, required: Sequence[str], non_negative: Sequence[str
     dup = duplicate_counts(df, keys).select(*keys, "duplicate_groups")
     # a side that meets itself plays once as host and once as guest
     busy = (
-        team_view(df).groupBy(*keys, "team", "match_date").agg(F.count("*").alias("n")).filter("n > 1")
+        team_view(df, stats=[]).groupBy(*keys, "team", "match_date").agg(F.count("*").alias("n")).filter("n > 1")
         .groupBy(*keys).agg(F.count("*").alias("busy_days"))
     )
     joined = base.join(dup, keys, "left").join(busy, keys, "left").fillna(0)

@@ -41,7 +41,7 @@ def prior_rank(matches: DataFrame) -> DataFrame:
     day = ["league", "season", "match_date"]
     gained = ["p", "gd", "g", "n"]
     team_day = (
-        team_view(matches).groupBy(*day, "team")
+        team_view(matches, stats=W.GOALS).groupBy(*day, "team")
         .agg(F.expr("sum(bigint(points)) AS p"), F.expr("sum(bigint(gf - ga)) AS gd"),
              F.expr("sum(bigint(gf)) AS g"), F.count("*").alias("n"))
     )

@@ -26,8 +26,13 @@ def points(scored: Column, conceded: Column) -> Column:
     return F.when(scored > conceded, 3).when(scored == conceded, 1).otherwise(0)
 
 
-def team_view(matches: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Home and away rows from one scan: each match row is exploded into two structs."""
+def team_view(matches: DataFrame, keep: Sequence[str] = (), stats: Sequence[str] | None = None) -> DataFrame:
+    """Home and away rows from one scan: each match row is exploded into two structs.
+
+    Columns inside the structs cannot be pruned by the optimizer, so name the ``stats`` that are
+    needed; points are added when both goal columns are among them.
+    """
+    wanted = SIDE_STATS if stats is None else {n: SIDE_STATS[n] for n in stats}
     base = ["match_id", "league", "season", "match_date", "home_team", "away_team", *keep]
     base += [c for c in [CELL] if c in matches.columns]
 
@@ -38,14 +43,13 @@ def team_view(matches: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
             F.lit(1 if home else 0).alias("is_home"),
             F.col(teams[0]).alias("team"),
             F.col(teams[1]).alias("opponent"),
-            *[F.col(src[i]).alias(name) for name, src in SIDE_STATS.items()],
+            *[F.col(src[i]).alias(name) for name, src in wanted.items()],
         )
 
-    return (
-        matches.select(*base, F.explode(F.array(side(True), side(False))).alias("_side"))
-        .select(*base, "_side.*")
-        .withColumn("points", points(F.col("gf"), F.col("ga")))
-    )
+    rows = matches.select(*base, F.explode(F.array(side(True), side(False))).alias("_side")).select(*base, "_side.*")
+    if "gf" in wanted and "ga" in wanted:
+        rows = rows.withColumn("points", points(F.col("gf"), F.col("ga")))
+    return rows
 
 
 def by_match(rows: DataFrame, columns: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:

@@ -30,9 +30,12 @@ DAY = ["match_date"]
 IN_DAY = ["home_team", "away_team", "match_id"]
 
 
-def sides(matches: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Team view cut into cells."""
-    return team_view(with_cell(matches), keep)
+def sides(matches: DataFrame, stats: Sequence[str] | None = None) -> DataFrame:
+    """Team view cut into cells, with the named statistics."""
+    return team_view(with_cell(matches), stats=stats)
+
+
+GOALS = ["gf", "ga"]
 
 
 def _n(c: str) -> Column:
@@ -165,7 +168,7 @@ def recent_columns(windows: Sequence[int]) -> dict[str, Column]:
 
 def recent_form(matches: DataFrame, windows: Sequence[int] = (3, 5, 10)) -> DataFrame:
     """Last-n form of both sides over all venues and seasons."""
-    looked = sums_of_last(sides(matches), TEAM, [CELL], ORDER_KEY, windows, RECENT_SUMS)
+    looked = sums_of_last(sides(matches, [*GOALS, "sot", "corners"]), TEAM, [CELL], ORDER_KEY, windows, RECENT_SUMS)
     cols = recent_columns(windows)
     return by_match(looked.select("match_id", "is_home", *[c.alias(n) for n, c in cols.items()]), list(cols))
 
@@ -208,7 +211,7 @@ def h2h_last6(matches: DataFrame) -> DataFrame:
 def rest_days(matches: DataFrame) -> DataFrame:
     """Days since the last match of each side in any season; first match 7, at most 21."""
     looked = totals_before(
-        sides(matches), TEAM, [CELL], ORDER_KEY, {}, latest={"last_date": F.col("match_date")}
+        sides(matches, []), TEAM, [CELL], ORDER_KEY, {}, latest={"last_date": F.col("match_date")}
     )
     return by_match(looked.select("match_id", "is_home", rest_column().alias("rest_days")), ["rest_days"])
 
@@ -219,7 +222,7 @@ def rest_column() -> Column:
 
 def matchday(matches: DataFrame) -> DataFrame:
     """Round number: more season matches of the two sides, plus one."""
-    counted = totals_before(sides(matches), [*TEAM, "season"], [CELL], ORDER_KEY, {"played": _one()})
+    counted = totals_before(sides(matches, []), [*TEAM, "season"], [CELL], ORDER_KEY, {"played": _one()})
     return counted.groupBy("match_id").agg((F.max("played") + 1).alias("matchday"))
 
 
@@ -232,7 +235,7 @@ def season_ages(matches: DataFrame) -> DataFrame:
 
 def promoted_proxy(matches: DataFrame) -> DataFrame:
     """Side with under 15 earlier matches outside the first season; age of the season."""
-    counted = totals_before(sides(matches), TEAM, [CELL], ORDER_KEY, {"played": _one()})
+    counted = totals_before(sides(matches, []), TEAM, [CELL], ORDER_KEY, {"played": _one()})
     both = by_match(counted, ["played"], ["league", "season"])
     aged = both.join(season_ages(matches), ["league", "season"])
     later = F.col("season_age") > 0
@@ -246,7 +249,7 @@ def promoted_proxy(matches: DataFrame) -> DataFrame:
 
 def asof_state(matches: DataFrame) -> DataFrame:
     """As-of lookup: opponent and goals of each side's latest strictly earlier match."""
-    looked = rows_before(sides(matches), TEAM, [CELL], ORDER_KEY, 1, F.struct("opponent", "gf", "match_date"))
+    looked = rows_before(sides(matches, GOALS), TEAM, [CELL], ORDER_KEY, 1, F.struct("opponent", "gf", "match_date"))
     last = F.get("prior", F.lit(0))
     return looked.select(
         "match_id",
@@ -278,7 +281,7 @@ ROLLING = ["gf", "ga", "corners", "yellows", "shot_accuracy"]
 
 def rolling_means(matches: DataFrame, windows: Sequence[int] = (3, 5)) -> DataFrame:
     """Mean of the non-NULL values among the last w earlier home matches of each host."""
-    hosts = with_ratios(sides(matches)).filter(F.col("is_home") == 1)
+    hosts = with_ratios(sides(matches, [*GOALS, "shots", "sot", "corners", "yellows"])).filter(F.col("is_home") == 1)
     looked = rows_before(hosts, TEAM, [CELL], ORDER_KEY, max(windows), F.struct(*ROLLING))
 
     def mean(field: str, w: int) -> Column:
@@ -310,7 +313,7 @@ def weighted_form(matches: DataFrame, literal: bool = False) -> DataFrame:
     first n + 1 weights. ``xg_diff`` is the goal difference of the row, ``form_x_opponent`` the form times
     the opponent's form.
     """
-    looked = rows_before(sides(matches), TEAM, [CELL], ORDER_KEY, 5, F.col("points"))
+    looked = rows_before(sides(matches, GOALS), TEAM, [CELL], ORDER_KEY, 5, F.col("points"))
     newest = F.reverse("prior")
     weights = F.array(*[F.lit(w) for w in FORM_WEIGHTS])
     used = F.size(newest)
@@ -331,7 +334,7 @@ def ewm_form(matches: DataFrame, span: int = 5) -> DataFrame:
     """
     alpha = 2.0 / (span + 1)
     depth = 100
-    looked = rows_before(sides(matches), TEAM, [CELL], ORDER_KEY, depth, F.col("points"))
+    looked = rows_before(sides(matches, GOALS), TEAM, [CELL], ORDER_KEY, depth, F.col("points"))
     prior = F.col("prior")
     start = F.get(prior, F.lit(0)).cast("double")
     rest = F.slice(prior, 2, F.greatest(F.size(prior) - 1, F.lit(0)))
@@ -341,7 +344,7 @@ def ewm_form(matches: DataFrame, span: int = 5) -> DataFrame:
 
 def tackle_rate(matches: DataFrame) -> DataFrame:
     """On-target shots over all shots of the team, group totals repeated on each row."""
-    rows = team_view(matches)
+    rows = team_view(matches, stats=["shots", "sot"])
     total = rows.groupBy(*TEAM).agg(F.sum("sot").alias("_w"), F.sum("shots").alias("_t"))
     rate = F.col("_w") / F.when(F.col("_t") == 0, 1).otherwise(F.col("_t"))
     return rows.join(total, TEAM).select("match_id", "team", rate.alias("team_rate"))
@@ -382,7 +385,7 @@ def _states_at(points_in_time: DataFrame, states: DataFrame, keys: Sequence[str]
 
 def form_minmatches(matches: DataFrame, window: int = 3, minimum: int = 2, home_weight: float = 1.2) -> DataFrame:
     """Mean of the last ``window`` completed matches on earlier dates; NULL below ``minimum``."""
-    rows = team_view(matches, keep=["status"])
+    rows = team_view(matches, ["status"], FORM_ITEM)
     done = rows.filter(F.col("status") == "completed")
     merged = tails_before_cell(done, TEAM, DAY, IN_DAY, window, F.struct(*FORM_ITEM), inclusive=True)
     state = _states_at(rows.select(*TEAM, "match_date").distinct(), merged, TEAM, "prior")
@@ -439,7 +442,7 @@ def h2h_all(matches: DataFrame) -> DataFrame:
 
 def days_since_last(matches: DataFrame) -> DataFrame:
     """Days since each side's last completed match on an earlier date; weekend flag."""
-    rows = team_view(matches, keep=["status"])
+    rows = team_view(matches, ["status"], [])
     per_day = rows.groupBy(*TEAM, "match_date").agg(
         F.max(F.when(F.col("status") == "completed", F.col("match_date"))).alias("_done")
     )

@@ -65,21 +65,24 @@ def totals_before(
     totals: Mapping[str, Column],
     families: Mapping[str, Sequence[str]] | None = None,
     latest: Mapping[str, Column] | None = None,
+    by_cell: DataFrame | None = None,
 ) -> DataFrame:
     """Add, for each name in ``totals``, the sum over all earlier rows of the same key.
 
     ``families`` maps a column prefix to further keys that are constant inside a cell, such as
     the season: all families share the one shuffle, the one window and the one join.
     ``latest`` columns grow with the order; their last earlier value is added under the name.
+    ``by_cell`` may bring the totals per (key, cell) when they come cheaper from elsewhere.
     """
     families = families or {"": ()}
     latest = latest or {}
     extra = sorted({c for cols in families.values() for c in cols})
-    by_cell = df.groupBy(*keys, *cell).agg(
-        *[F.sum(e).alias(n) for n, e in totals.items()],
-        *[F.max(e).alias(n) for n, e in latest.items()],
-        *[F.max(c).alias(c) for c in extra],
-    )
+    if by_cell is None:
+        by_cell = df.groupBy(*keys, *cell).agg(
+            *[F.sum(e).alias(n) for n, e in totals.items()],
+            *[F.max(e).alias(n) for n, e in latest.items()],
+            *[F.max(c).alias(c) for c in extra],
+        )
 
     def earlier_cells(more: Sequence[str]):
         return Window.partitionBy(*keys, *more).orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)

@@ -26,13 +26,14 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, counts: dict[str
 
     ``counts`` maps a name to a summable column; the running total is ``<name>_below``.
     """
-    per_value = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(*[F.sum(e).cast("bigint").alias(n) for n, e in counts.items()])
-        .withColumn("_cell", magnitude_cell(F.col(value).cast("double")))
+    known = df.filter(F.col(value).isNotNull())
+    cell = magnitude_cell(F.col(value).cast("double")).alias("_cell")
+    per_value = known.groupBy(*keys, value).agg(*[F.sum(e).cast("bigint").alias(n) for n, e in counts.items()])
+    # straight from the rows: a handful of cells per task, while the counts per value are a full shuffle
+    by_cell = known.groupBy(*keys, cell).agg(*[F.sum(e).cast("bigint").alias(f"{n}_below") for n, e in counts.items()])
+    below = totals_before(
+        per_value.select("*", cell), keys, ["_cell"], [value], {f"{n}_below": F.col(n) for n in counts}, by_cell=by_cell
     )
-    below = totals_before(per_value, keys, ["_cell"], [value], {f"{n}_below": F.col(n) for n in counts})
     return below.drop("_cell")
 
 

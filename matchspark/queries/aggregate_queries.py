@@ -116,7 +116,7 @@ def error_histogram(spark, folder):
     ),
 )
 def team_vs_league(spark, folder):
-    return rounded(S.team_vs_league(team_view(contests(spark, folder)), ["gf", "shots", "corners"]))
+    return rounded(S.team_vs_league(team_view(contests(spark, folder), stats=["gf", "shots", "corners"]), ["gf", "shots", "corners"]))
 
 
 @query("distinct_teams", fx_sql("SELECT home_team AS team FROM fx UNION SELECT away_team FROM fx"))

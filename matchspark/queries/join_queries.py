@@ -35,7 +35,7 @@ def dim_chain_join(spark, folder):
     ),
 )
 def two_role_join(spark, folder):
-    joined = D.two_roles(team_view(contests(spark, folder)), D.team_stats(spark, folder))
+    joined = D.two_roles(team_view(contests(spark, folder), stats=[]), D.team_stats(spark, folder))
     return rounded(joined.select("match_id", "team", "opponent", "played_tm", "played_opp", "attack_tm", "attack_opp",
                                  "defence_tm", "defence_opp"), 3)
 
@@ -55,7 +55,7 @@ def event_counts_join(spark, folder):
         F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(0).alias("is_home"),
         F.when(F.col("l_returnflag") == "R", "Yellow").when(F.col("l_returnflag") == "A", "Second").alias("card"),
     )
-    rows = D.with_event_counts(team_view(contests(spark, folder)), children)
+    rows = D.with_event_counts(team_view(contests(spark, folder), stats=[]), children)
     return rows.select("match_id", "is_home", "team", "yellow_events", "second_events")
 
 
@@ -80,7 +80,7 @@ def referee_strictness(spark, folder):
     ),
 )
 def home_away_split(spark, folder):
-    return rounded(D.home_away_split(team_view(contests(spark, folder))))
+    return rounded(D.home_away_split(team_view(contests(spark, folder), stats=["gf"])))
 
 
 @query(
