@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from matchspark.operators import windows as W
 from matchspark.operators.team_view import team_view as to_team_view
 from matchspark.queries.registry import query, rounded
