@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
+
+# the functions travel to the tasks by value: executors need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ELO_START = 1500.0
 ELO_K = 20.0
