@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 from uuid import uuid4
@@ -20,8 +23,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that only the driver needs it installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        at = os.path.join(tempfile.mkdtemp(prefix="matchspark-code-"), "matchspark_llm")
+        made = shutil.make_archive(at, "zip", os.path.dirname(root), os.path.basename(root))
+        spark.sparkContext.addPyFile(made)
+        _SHIPPED.add(app)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """Id and text alone, so that other columns and their names don't matter; NULL text is empty."""
+    ship(docs.sparkSession)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -63,12 +81,10 @@ def list_array(flat, counts) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(flat, pa.int32()))
 
 
-@lru_cache(maxsize=4)
-def coder(kind: str, model: bytes | str):
-    """Encoder of a vocabulary, made once in each Python worker."""
-    from matchspark.llm import merging
-
-    return getattr(merging, kind)(model)
+@lru_cache(maxsize=6)
+def coder(kind: type, model: bytes | str):
+    """Encoder of a vocabulary or model, made once in each Python worker."""
+    return kind(model)
 
 
 def vocabulary(name: str) -> str:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.llm import common
+from matchspark.llm.merging import PieceCoder
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
@@ -20,7 +21,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(common.read_file(model_path))
 
     def run(batch: pa.RecordBatch):
-        flat, counts = common.coder("PieceCoder", model.value).encode(batch.column("text").to_pylist())
+        flat, counts = common.coder(PieceCoder, model.value).encode(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), common.list_array(flat, counts)], ["doc_id", "ids"])
 
     return common.map_arrow(common.texts(docs), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -35,7 +36,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         flat = ids.flatten().to_numpy(zero_copy_only=False)
         counts = np.asarray(pa.compute.list_value_length(ids).fill_null(0))
         edges = np.r_[0, np.cumsum(counts)].tolist()
-        decoder = common.coder("PieceCoder", model.value)
+        decoder = common.coder(PieceCoder, model.value)
         out = [decoder.decode(flat[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
 

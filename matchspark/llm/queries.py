@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchspark.llm import common, exact, fingerprints, pieces, secrets
+from matchspark.llm import common, exact, fingerprints, pieces, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,3 +50,9 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document."""
     return secrets.digests(secrets.scan(common.table(spark, folder, "documents")))
+
+
+@query("op4_toxicity")
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels of the training part."""
+    return toxicity.report(common.table(spark, folder, "documents"), common.table(spark, folder, "labels"))
