@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchspark.llm import common, exact, fingerprints, pieces, secrets, toxicity
+from matchspark.llm import common, exact, fingerprints, packing, pieces, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,3 +56,10 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, learnt from the labels of the training part."""
     return toxicity.report(common.table(spark, folder, "documents"), common.table(spark, folder, "labels"))
+
+
+@query("op9_packing")
+def packing_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    path = common.vocabulary("byte_bpe_50k.json")
+    return packing.pack(packing.pieces(common.table(spark, folder, "documents"), path))
