@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchspark.llm import common, exact, fingerprints, packing, pieces, secrets, toxicity
+from matchspark.session import scratch_dir
+from matchspark.llm import common, exact, fingerprints, id_files, packing, pieces, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,3 +65,11 @@ def packing_plan(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     path = common.vocabulary("byte_bpe_50k.json")
     return packing.pack(packing.pieces(common.table(spark, folder, "documents"), path))
+
+
+@query("op10_token_files")
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document written as token-id files and read back."""
+    path = scratch_dir(spark, "llm", "token-files", uuid4().hex)
+    id_files.write(common.table(spark, folder, "documents"), path, common.vocabulary("word_bpe_49k.json"))
+    return id_files.report(spark, path)
