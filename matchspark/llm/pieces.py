@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batch: pa.RecordBatch):
         ids = batch.column("ids")
         flat = ids.flatten().to_numpy(zero_copy_only=False)
-        counts = np.asarray(pa.compute.list_value_length(ids).fill_null(0))
+        counts = np.asarray(pc.list_value_length(ids).fill_null(0))
         edges = np.r_[0, np.cumsum(counts)].tolist()
         decoder = common.coder(PieceCoder, model.value)
         out = [decoder.decode(flat[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]

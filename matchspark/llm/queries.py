@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from matchspark.session import scratch_dir
-from matchspark.llm import common, exact, fingerprints, id_files, packing, pieces, secrets, toxicity
+from matchspark.llm import common, exact, fingerprints, id_files, near, packing, pieces, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,3 +73,9 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_dir(spark, "llm", "token-files", uuid4().hex)
     id_files.write(common.table(spark, folder, "documents"), path, common.vocabulary("word_bpe_49k.json"))
     return id_files.report(spark, path)
+
+
+@query("op8_near_dedup")
+def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents that share 85 hundredths of their five-word shingles."""
+    return near.near_duplicates(common.table(spark, folder, "documents"), 85)
