@@ -7,8 +7,8 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+from matchspark.llm import attribution, common, exact, fingerprints, id_files, near, packing, pieces, secrets, toxicity, warc
 from matchspark.session import scratch_dir
-from matchspark.llm import common, exact, fingerprints, id_files, near, packing, pieces, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,3 +79,15 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
 def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents that share 85 hundredths of their five-word shingles."""
     return near.near_duplicates(common.table(spark, folder, "documents"), 85)
+
+
+@query("op2_warc_derivatives", warc.report_sql())
+def warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    return warc.report(common.table(spark, folder, "pages"))
+
+
+@query("op3_token_counts")
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return attribution.section_tokens(common.table(spark, folder, "documents"), common.vocabulary("byte_bpe_50k.json"))

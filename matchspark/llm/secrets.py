@@ -119,6 +119,7 @@ def digests(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns; each span, overlapping ones together, gives way to ``mark``; n_chars follows the text."""
+    common.ship(docs.sparkSession)
     names = docs.columns
     place = names.index("text")
 

@@ -195,7 +195,7 @@ def _run_scored(batches, spec, fn):
         owner = np.searchsorted(edges, at, side="right") - 1
         hits = [([], [])] * len(texts)
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(at) else np.zeros(0, np.int64)
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+        for a, b in zip(first.tolist(), np.r_[first[1:], len(at)].tolist() if len(first) else [], strict=True):
             doc = int(owner[a])
             hits[doc] = ((at[a:b] - edges[doc]).tolist(), (flat[at[a:b]] / UNIT).tolist())
         yield from fn(batch, texts, counts.tolist(), hits)
@@ -306,6 +306,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return _scored(common.texts(docs), model, run, f"doc_id {kind}, score double, passages {PASSAGES}")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The same columns of the rows that score below the threshold; one pass, nothing is shuffled."""
+    spec = docs.sparkSession.sparkContext.broadcast(json.dumps(model.lexicon))
+    common.ship(docs.sparkSession)
+
+    def clean(batch, texts, counts, hits):
+        values = [model.slope * evidence(model, segments(*h), n) + model.intercept for n, h in zip(counts, hits, strict=True)]
+        yield batch.filter(pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) < threshold for v in values]))
+
+    return docs.mapInArrow(partial(_run_scored, spec=spec, fn=clean), docs.schema)
+
+
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and the number of passages of every row."""
     scored = score(docs, fit(docs, labels))
