@@ -35,8 +35,8 @@ def section_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, section, start, end, n_tokens and n_crossing (tokens given to it that cross a boundary) of every line."""
     spec = docs.sparkSession.sparkContext.broadcast(common.read_file(tokenizer_path, text=True))
 
-    def run(batches):
-        for batch in batches:
+    def run(batch: pa.RecordBatch):
+        if batch.num_rows:
             encoder = common.coder(ByteCoder, spec.value)
             texts = batch.column("text").to_pylist()
             flat, counts = encoder.encode(texts)
@@ -59,4 +59,4 @@ def section_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, section bigint, start bigint, end bigint, n_tokens bigint, n_crossing bigint"
-    return common.texts(docs).mapInArrow(run, schema)
+    return common.map_arrow(common.texts(docs), run, schema)

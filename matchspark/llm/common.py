@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from uuid import uuid4
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,14 +68,30 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: Column | str
     return near.unionByName(far)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, column: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
-            yield from fn(batch)
+            for part in by_bytes(batch, column):
+                yield from fn(part)
 
     return df.mapInArrow(run, schema)
 
 
+def by_bytes(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices with about a million bytes of text each, so that what a task holds does not follow the batch size."""
+    import numpy as np
+
+    values = batch.column(column)
+    width = pc.binary_length(values) if pa.types.is_string(values.type) else pc.multiply(pc.list_value_length(values), 4)
+    sizes = np.cumsum(width.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        base = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, base + limit)))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def list_array(flat, counts) -> pa.ListArray:
     import numpy as np
 

@@ -50,9 +50,11 @@ def runs(rows: DataFrame, text: str, about: Column | None = None) -> DataFrame:
     ))[0]
     spread = rows.select(*others, F.inline(cut))
     others = [*others, "run", "about"]
-    # short expressions: a step whose generated code grows too long is not compiled by the JVM
+    # a step whose generated code grows too long is not compiled by the JVM: the lambda keeps this one out of
+    # whole-stage code, where its expressions are cut into short methods
+    windows = F.transform(F.array("_windows"), lambda x: x)[0].alias("_windows")
     names = [f"_h{j}" for j in range(RUN + WINDOW - 1)]
-    level = spread.select(*others, "_windows", *[
+    level = spread.select(*others, windows, *[
         F.expr(f"if({j} <= _grams, shiftleft(crc32(substring(_units, {4 * j + 1}, _bytes)), {POSITION_BITS}) | (_back - {j}L), {NOTHING}L) AS {n}")
         for j, n in enumerate(names)
     ])

@@ -84,7 +84,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> N
             return pa.RecordBatch.from_arrays(columns, ["part", "block", "blob"])
 
         ready = []
-        for batch in batches:
+        for batch in (part for batch in batches for part in common.by_bytes(batch)):
             ids = batch.column("doc_id").to_pylist()
             flat, counts = common.coder(ByteCoder, spec.value).encode(batch.column("text").to_pylist())
             edges = np.r_[0, np.cumsum(counts)].tolist()

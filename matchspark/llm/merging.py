@@ -173,7 +173,7 @@ class WordCoder:
     word has no systematic collisions); results don't depend on the first.
     """
 
-    remember = 600_000
+    remember = 400_000
     long_word = 64
     piece_bytes = 1 << 20
     BASE = np.uint64(0x9E3779B97F4A7C15)

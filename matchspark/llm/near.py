@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,7 +66,7 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketches(batches):
     for batch in batches:
-        for part in _by_bytes(batch):
+        for part in common.by_bytes(batch):
             hashes, sizes = shingle_hashes(part.column("text").to_pylist())
             edges = np.r_[0, np.cumsum(sizes)]
             full = np.flatnonzero(sizes)
@@ -89,17 +88,6 @@ def _sketches(batches):
             )
 
 
-def _by_bytes(batch: pa.RecordBatch, limit: int = 1 << 20):
-    """Slices of about a million bytes of text."""
-    sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        base = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, base + limit)))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def _groups(batches, key: str):
     """Rows of each value of a key from a stream sorted by it, as one batch; groups must fit in memory."""
     held: list[pa.RecordBatch] = []

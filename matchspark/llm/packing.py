@@ -33,8 +33,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     """doc_id, row (a number for each input row), piece, start, length, ids_crc32 and on demand the ids of every piece."""
     spec = docs.sparkSession.sparkContext.broadcast(common.read_file(tokenizer_path, text=True))
 
-    def run(batches):
-        for batch in batches:
+    def run(batch: pa.RecordBatch):
+        if batch.num_rows:
             flat, counts = common.coder(ByteCoder, spec.value).encode(batch.column("text").to_pylist())
             edges = np.r_[0, np.cumsum(counts)].tolist()
             source, piece, start, length, crc, lists = [], [], [], [], [], []
@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return common.texts(docs).mapInArrow(run, schema)
+    return common.map_arrow(common.texts(docs), run, schema)
 
 
 def piece_sizes(n: int, capacity: int) -> list[int]:

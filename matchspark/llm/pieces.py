@@ -42,7 +42,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return common.map_arrow(encoded.select("doc_id", "ids"), run, f"doc_id {kind}, ids array<int>, decoded string")
+    return common.map_arrow(encoded.select("doc_id", "ids"), run, f"doc_id {kind}, ids array<int>, decoded string", column="ids")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ def _corpus_counts(texts: DataFrame, numbers: dict[str, int]) -> dict[int, int]:
 
     def run(batches):
         total = np.zeros(len(numbers) + 1, np.int64)
-        for batch in batches:
+        for batch in (part for batch in batches for part in common.by_bytes(batch)):
             flat, _ = common.coder(FeatureNumbers, spec.value).encode(batch.column("text").to_pylist())
             total += np.bincount(flat, minlength=len(total))
         seen = np.flatnonzero(total)
@@ -187,7 +187,7 @@ def _scored(texts: DataFrame, model: Model, fn, schema: str) -> DataFrame:
 
 
 def _run_scored(batches, spec, fn):
-    for batch in batches:
+    for batch in (part for batch in batches for part in common.by_bytes(batch)):
         texts = batch.column("text").to_pylist()
         flat, counts = common.coder(WordScores, spec.value).encode(texts)
         edges = np.r_[0, np.cumsum(counts)]
