@@ -20,10 +20,11 @@ def in_range(df: DataFrame, column: str, first: str, last: str) -> DataFrame:
 def outliers(df: DataFrame, keys: list[str], value: str, sigmas: float = 3.0) -> DataFrame:
     """Rows further than ``sigmas`` population deviations from the mean of their key.
 
-    Mean and deviation are aggregated per key first and joined back, so no key is gathered.
+    Mean and deviation are aggregated per key first and joined back, so no key is gathered. A key without
+    deviation has no outliers.
     """
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
-    far = F.abs((F.col(value) - F.col("_mean")) / F.col("_std")) > sigmas
+    far = F.abs((F.col(value) - F.col("_mean")) / F.nullif(F.col("_std"), F.lit(0.0))) > sigmas
     return df.join(stats, keys).filter(far).drop("_mean", "_std")
 
 

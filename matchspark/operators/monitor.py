@@ -66,7 +66,8 @@ def ks_drift(rows: DataFrame, recent: int = 100) -> DataFrame:
 
     The recent sample has at most ``recent`` steps, and between two of them the earlier sample
     only grows, so the distance is reached at a step or just before one. Earlier rows are counted
-    between steps in one aggregation; nothing is sorted.
+    between steps in one aggregation; nothing is sorted. A target without rows before the newest
+    ``recent`` has nothing to compare and is left out.
     """
     new = latest(rows, ["target"], recent).select("target", "event_id", "predicted")
     steps = new.groupBy("target").agg(
@@ -90,9 +91,9 @@ def ks_drift(rows: DataFrame, recent: int = 100) -> DataFrame:
     whole = Window.partitionBy("target")
     curves = both.select(
         "target", F.sum("o").over(whole).alias("n_old"), F.sum("c").over(whole).alias("n_new"),
-        (F.sum("o").over(upto) / F.sum("o").over(whole)).alias("f_old"),
+        (F.sum("o").over(upto) / F.nullif(F.sum("o").over(whole), F.lit(0))).alias("f_old"),
         (F.sum("c").over(upto) / F.sum("c").over(whole)).alias("f_new"),
-    )
+    ).filter(F.col("n_new") + F.col("n_old") > recent)
     d = curves.groupBy("target").agg(
         F.max("n_old").alias("n_old"), F.max("n_new").alias("n_new"), F.max(F.abs(F.col("f_old") - F.col("f_new"))).alias("ks_statistic")
     )
@@ -123,6 +124,7 @@ def t975(df: Column) -> Column:
         (5 * z**5 + 16 * z**3 + 3 * z) / 96,
         (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
     ]
+    df = F.nullif(df, F.lit(0))  # without degrees of freedom there is no band
     series = F.lit(z) + F.lit(terms[0]) / df + F.lit(terms[1]) / F.pow(df, 2) + F.lit(terms[2]) / F.pow(df, 3)
     out = series
     for k, v in T975.items():
@@ -144,7 +146,7 @@ def trend(daily: DataFrame) -> DataFrame:
     enough = F.col("n") >= 2
     mse = F.when(F.col("n") > 2, F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)) / (F.col("n") - 2))
     ahead = F.col("intercept") + F.col("slope") * F.col("n")
-    se = F.sqrt(mse * (1 + 1 / F.col("n") + F.pow(F.col("n") - F.col("mx"), 2) / F.col("sxx")))
+    se = F.sqrt(mse * (1 + 1 / F.col("n") + F.pow(F.col("n") - F.col("mx"), 2) / F.nullif(F.col("sxx"), F.lit(0.0))))
     half = t975(F.col("n") - 2) * se
     slope = F.when(enough, F.col("slope")).otherwise(0.0)
     return agg.select(

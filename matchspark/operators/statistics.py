@@ -54,10 +54,12 @@ def correlated_drop(matrix: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 30) -> DataFrame:
-    """Equal bins between the smallest and largest value, the last bin closed."""
+    """Equal bins between the smallest and largest value, the last bin closed; one value alone is bin 0."""
     bounds = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    index = F.least(F.floor((F.col(value) - lo) / ((hi - lo) / bins)), F.lit(bins - 1)).cast("int")
+    width = F.nullif((hi - lo) / bins, F.lit(0.0))
+    place = F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1))
+    index = F.when(F.col(value).isNotNull(), F.coalesce(place, F.lit(0))).cast("int")
     return df.groupBy(*keys, index.alias("bin")).agg(F.count("*").alias("n"))
 
 

@@ -6,6 +6,7 @@ name says so). Rows of a team are cut by match date, see :mod:`matchspark.plans.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -329,11 +330,11 @@ def weighted_form(matches: DataFrame, literal: bool = False) -> DataFrame:
 def ewm_form(matches: DataFrame, span: int = 5) -> DataFrame:
     """Shifted exponentially weighted mean of points, alpha = 2/(span+1), first value as start.
 
-    A value n matches back carries the factor (1-a)^n, below double precision after ``depth``
-    matches, so a bounded look-back gives the same number as the whole history.
+    A value n matches back carries the factor (1-a)^n. The look-back follows the span and reaches to where
+    that factor is below 1e-17, so it gives the same number as the whole history.
     """
     alpha = 2.0 / (span + 1)
-    depth = 100
+    depth = max(1, math.ceil(math.log(1e-17) / math.log(1 - alpha))) + 1 if alpha < 1 else 1
     looked = rows_before(sides(matches, GOALS), TEAM, [CELL], ORDER_KEY, depth, F.col("points"))
     prior = F.col("prior")
     start = F.get(prior, F.lit(0)).cast("double")

@@ -23,32 +23,14 @@ from pyspark.sql import functions as F
 CELL = "_cell"
 
 
-def cell_grain(df: DataFrame) -> str:
-    """How finely to cut a key by time, from the size the optimizer sees.
+def with_cell(matches: DataFrame, grain: str = "day") -> DataFrame:
+    """Add the cell column: the day of the match, with grain "pairing" the two sides as well.
 
-    Chosen so that a key with a third of all rows over a few years leaves some hundred
-    megabytes per cell: months, then days, then single pairings of a day.
+    The date stands first, so the order of the cells is the order of time whatever the seasons are called;
+    the season only tells apart matches that two seasons have on one day.
     """
-    if not hasattr(df, "_jdf"):  # a remote client does not see the plan's statistics
-        return "day"
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 64 * 2**30:
-        return "month"
-    return "day" if size < 2 * 2**40 else "pairing"
-
-
-def with_cell(matches: DataFrame, grain: str | None = None) -> DataFrame:
-    """Add the cell column: season plus a prefix of the match order at the given grain.
-
-    Seasons of a league follow one another in time, so season-first order is date order.
-    """
-    grain = grain or cell_grain(matches)
-    parts = {
-        "month": [F.trunc("match_date", "month").alias("d")],
-        "day": [F.col("match_date").alias("d")],
-        "pairing": [F.col("match_date").alias("d"), "home_team", "away_team"],
-    }[grain]
-    return matches.withColumn(CELL, F.struct("season", *parts))
+    sides = {"day": [], "pairing": ["home_team", "away_team"]}[grain]
+    return matches.withColumn(CELL, F.struct(F.col("match_date").alias("d"), "season", *sides))
 
 
 def last_n(values: Column, n: int | Column) -> Column:

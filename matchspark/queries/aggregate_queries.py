@@ -63,20 +63,10 @@ def monthly_goals(spark, folder):
     return rounded(contests(spark, folder).groupBy(month).agg(F.avg(F.col("fthg") + F.col("ftag")).alias("goals")))
 
 
-TEAMS = [f"NATION_{i}" for i in range(25)]
-
-
-@query(
-    "pivot_heatmap",
-    fx_sql(
-        "SELECT home_team, " + ", ".join(
-            r(f"avg(CASE WHEN away_team = '{t}' THEN fthg END)") + f" AS {t.lower()}" for t in TEAMS
-        ) + " FROM m GROUP BY home_team"
-    ),
-)
+@query("pivot_heatmap", fx_sql(f"SELECT home_team, away_team, {r('avg(fthg)')} AS goals FROM m GROUP BY home_team, away_team"))
 def pivot_heatmap(spark, folder):
-    grid = contests(spark, folder).groupBy("home_team").pivot("away_team", TEAMS).agg(F.avg("fthg"))
-    return rounded(grid.select("home_team", *[F.col(t).alias(t.lower()) for t in TEAMS]))
+    """Cells of the home by away grid in long form, so no team needs a column."""
+    return rounded(contests(spark, folder).groupBy("home_team", "away_team").agg(F.avg("fthg").alias("goals")))
 
 
 @query(

@@ -62,17 +62,18 @@ def early_cut(spark, folder):
 @query(
     "inner_split",
     fx_sql(
-        """SELECT match_id, CASE WHEN position < greatest(1, floor(size * 0.8e0)) THEN 'train' ELSE 'validation' END AS part_80,
-        CASE WHEN position < greatest(1, floor(size * 0.82e0)) THEN 'train' ELSE 'validation' END AS part_82,
-        floor(size * 0.82e0) >= 60 AND size - floor(size * 0.82e0) >= 20 AS usable_82 FROM num""",
+        """SELECT match_id, CASE WHEN position < c80 THEN 'train' ELSE 'validation' END AS part_80,
+        CASE WHEN position < c82 THEN 'train' ELSE 'validation' END AS part_82, c82 >= 60 AND size - c82 >= 20 AS usable_82
+        FROM (SELECT *, greatest(1, floor(size * 0.8e0)) AS c80, CASE WHEN least(greatest(60, floor(size * 0.82e0)), size - 20) > 0
+          THEN least(greatest(60, floor(size * 0.82e0)), size - 20) ELSE floor(size * 0.75e0) END AS c82 FROM num)""",
         NUM_CTE,
     ),
 )
 def inner_split(spark, folder):
     df = contests(spark, folder)
-    a = S.inner_split(df, 0.80).select("match_id", F.col("part").alias("part_80"))
-    b = S.inner_split(df, 0.82, 60, 20).select("match_id", F.col("part").alias("part_82"), F.col("usable").alias("usable_82"))
-    return a.join(b, "match_id")
+    first = S.inner_split(df, 0.80).withColumn("part_80", F.col("part"))
+    both = S.inner_split(df, 0.82, 60, 20, rows=first.drop("part", "usable"))
+    return both.select("match_id", "part_80", F.col("part").alias("part_82"), F.col("usable").alias("usable_82"))
 
 
 @query(

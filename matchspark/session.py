@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -32,10 +33,13 @@ _LOCAL_SCRATCH: dict[str, str] = {}
 def scratch_dir(spark: SparkSession, *parts: str) -> str:
     """Folder that every executor can reach, below ``spark.checkpoint.dir``.
 
-    Only when the session names no such folder (tests, a laptop) is a local one made.
+    Only a local session (tests, a laptop) that names no such folder gets one of its own; on a cluster each
+    machine would write to its own disk, so there the setting is needed.
     """
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = _LOCAL_SCRATCH.get(app)
         if base is None:

@@ -18,24 +18,39 @@ def write_seasons(df: DataFrame, path: str) -> None:
 
 
 def season_of(path: Column) -> Column:
-    """Season from the file stem: what follows the last underscore."""
-    return F.regexp_extract(path, r"_([^_/.]+)(?:\.csv)?(?:/[^/]*)?$", 1)
+    """Season from the file stem, what follows its last underscore; a file in a season's folder has that of the folder."""
+    own = F.regexp_extract(path, r"_([^_/.]+)\.csv(?:\.gz)?$", 1)
+    return F.when(own != "", own).otherwise(F.regexp_extract(path, r"_([^_/.]+)/[^/]*$", 1))
+
+
+def headers(spark: SparkSession, *paths: str) -> dict[str, list[str]]:
+    """Header line of each season file, without a byte order mark, and the files that have it: a row for each file."""
+    lines = spark.read.text(list(paths), recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value",
+        F.monotonically_increasing_id().alias("line"),
+    )
+    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    found: dict[str, list[str]] = {}
+    for r in first.orderBy("file").collect():
+        found.setdefault(r["header"].lstrip("﻿"), []).append(r["file"])
+    return found
 
 
 def scan_seasons(spark: SparkSession, *paths: str, schema: str = SEASON_SCHEMA) -> DataFrame:
-    """Read season files that may differ in their columns; absent columns become NULL.
+    """Read season files that may differ in their columns and their order; absent columns become NULL.
 
-    The schema is fixed, so nothing is inferred; columns a file lacks are left out of its read.
+    Files are read in groups of the same header, so each value lands in its own column. The schema is fixed and
+    nothing is inferred; columns that it does not name are left out.
     """
+    known = {f.split()[0]: f.strip() for f in schema.replace("\n", " ").split(",")}
     frames = []
-    for path in paths:
-        header = spark.read.option("header", True).csv(path).drop("file").columns
-        fields = [f.strip() for f in schema.replace("\n", " ").split(",")]
-        known = {f.split()[0]: f for f in fields}
-        read = spark.read.schema(", ".join(known.get(c, f"`{c}` STRING") for c in header))
-        df = read.csv(path, header=True, encoding="UTF-8", recursiveFileLookup=True)
-        df = df.withColumn("season", season_of(F.regexp_extract("_metadata.file_path", r"(.*)/[^/]*$", 1)))
-        frames.append(df.select("season", *[c for c in header if c in known]))
+    for header, names in headers(spark, *paths).items():
+        columns = [c.strip().strip('"') for c in header.split(",")]
+        read = spark.read.schema(", ".join(known.get(c, f"`{c}` STRING") for c in columns))
+        df = read.csv(names, header=True, encoding="UTF-8").withColumn("season", season_of(F.col("_metadata.file_path")))
+        frames.append(df.select("season", *[c for c in columns if c in known]))
+    if not frames:
+        raise ValueError("no season file found")
     out = frames[0]
     for df in frames[1:]:
         out = out.unionByName(df, allowMissingColumns=True)

@@ -1,10 +1,11 @@
 """Skew-safe plans against brute force, leakage and invariants."""
 
+import datetime
 import math
 import random
 
 import pytest
-from fixtures_small import SCHEMA, random_rows
+from fixtures_small import SCHEMA, match, random_rows
 from pyspark.sql import functions as F
 
 from matchspark.operators import monitor as M
@@ -29,7 +30,35 @@ def history(rows):
             seen.setdefault(r[4] if home else r[5], []).append((gf, ga))
 
 
-@pytest.mark.parametrize("grain", ["month", "day", "pairing"])
+def test_season_labels_do_not_order_time(spark):
+    """Season 9900 lies before season 0001; the later match must see the earlier one, not the other way round."""
+    rows = [
+        match(1, datetime.date(2000, 3, 1), "A", "B", 1, 0, season="9900"),
+        match(2, datetime.date(2000, 9, 1), "A", "B", 1, 0, season="0001"),
+    ]
+    got = {r.match_id: r for r in W.prior_averages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    count = next(c for c in got[1].asDict() if c.startswith("home") and c.endswith("matches"))
+    assert got[1][count] == 0 and got[2][count] == 1
+
+
+@pytest.mark.parametrize("span", [5, 20, 100])
+def test_weighted_mean_reaches_back_as_far_as_its_span(spark, span):
+    rows = random_rows()
+    order = sorted(rows, key=lambda r: (r[3], r[4], r[5], r[0]))
+    alpha, state, want = 2 / (span + 1), {}, {}
+    for r in order:
+        for team in (r[4], r[5]):
+            want[(r[0], team)] = state.get(team)
+        for team, gf, ga in ((r[4], r[6], r[7]), (r[5], r[7], r[6])):
+            p = 3 if gf > ga else 1 if gf == ga else 0
+            state[team] = p if team not in state else state[team] * (1 - alpha) + p * alpha
+    for r in W.ewm_form(spark.createDataFrame(rows, SCHEMA), span).collect():
+        expected = want[(r.match_id, r.team)]
+        assert (r.ewm_points is None) == (expected is None)
+        assert expected is None or abs(r.ewm_points - expected) < 1e-9
+
+
+@pytest.mark.parametrize("grain", ["day", "pairing"])
 def test_totals_and_window_sums_at_every_grain(spark, grain):
     rows = random_rows()
     view = team_view(prior.with_cell(spark.createDataFrame(rows, SCHEMA), grain))
