@@ -55,7 +55,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: Column | str
     """Join rows with a table that has one row for each key, however many rows a key has.
 
     The ``HOT_GROUPS`` largest groups are broadcast (a fixed number of rows), so their rows stay where
-    they are; no other key can hold more than a thousandth of the rows, and those are shuffled. ``groups``
+    they are; no other key can hold more than a thousandth of the rows, and those are shuffled and merged at
+    every size, so that a plan that holds for small tables does not give way to another for large ones. ``groups``
     should be stored, as it is read twice; columns of both sides must differ but for the key.
     """
     size = F.col(size) if isinstance(size, str) else size
@@ -64,7 +65,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: Column | str
     marked = rows.join(F.broadcast(flagged), key, "left")
     others = [c for c in groups.columns if c != key]
     near = marked.filter("_hot IS NOT NULL").select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in others])
-    far = marked.filter("_hot IS NULL").drop("_hot").join(groups, key, how).select(*rows.columns, *others)
+    far = marked.filter("_hot IS NULL").drop("_hot").join(groups.hint("merge"), key, how).select(*rows.columns, *others)
     return near.unionByName(far)
 
 
