@@ -20,7 +20,7 @@ from matchspark.llm.merging import ByteCoder
 
 def attribute(token_ends: np.ndarray, section_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Section of each token, and whether it crosses a boundary; both lists of ends are in bytes and ascend."""
-    starts = np.r_[0, token_ends[:-1]]
+    starts = np.r_[0, token_ends][:-1]
     first = np.searchsorted(section_ends, starts, side="right")
     last = np.searchsorted(section_ends, token_ends, side="left")
     crossing = last > first

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 GRAM = 12
 WINDOW = 16
-RUN = 16
+RUN = 32
 NOTHING = (1 << 63) - 1
 POSITION_BITS = 31
 
@@ -50,7 +50,7 @@ def runs(rows: DataFrame, text: str, about: Column | None = None) -> DataFrame:
     ))[0]
     spread = rows.select(*others, F.inline(cut))
     others = [*others, "run", "about"]
-    # a step whose generated code grows too long is not compiled by the JVM: the lambda keeps this one out of
+    # a step whose generated code grows too long is not compiled by the JVM: the lambda keeps each step out of
     # whole-stage code, where its expressions are cut into short methods
     windows = F.transform(F.array("_windows"), lambda x: x)[0].alias("_windows")
     names = [f"_h{j}" for j in range(RUN + WINDOW - 1)]
@@ -62,7 +62,7 @@ def runs(rows: DataFrame, text: str, about: Column | None = None) -> DataFrame:
     while reach < WINDOW:
         pairs = list(zip(names, names[reach:]))
         names = [f"_m{reach}_{j}" for j in range(len(pairs))]
-        level = level.select(*others, "_windows", *[F.expr(f"if({a} < {b}, {a}, {b}) AS {n}") for (a, b), n in zip(pairs, names, strict=True)])
+        level = level.select(*others, windows, *[F.expr(f"if({a} < {b}, {a}, {b}) AS {n}") for (a, b), n in zip(pairs, names, strict=True)])
         reach *= 2
     chosen = [F.expr(f"if({j} <= _windows, {n}, {names[0]})") for j, n in enumerate(names[:RUN])]
     return level.select(*others, F.array_distinct(F.array(*chosen)).alias("chosen"))

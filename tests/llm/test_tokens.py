@@ -167,7 +167,7 @@ def test_plans_are_valid_and_tight():
         for _ in range(rng.randint(0, 60)):
             histogram[rng.randint(1, capacity)] = rng.randint(1, rng.choice([1, 3, 50]))
         bound = -(-sum(k * n for k, n in histogram.items()) // capacity)
-        assert bound <= laid_out(histogram, capacity) <= 11 * bound / 9 + 6
+        assert bound <= laid_out(histogram, capacity) <= 2 * bound + 1
     many = {k: int(3000 / (1 + k / 50)) + 1 for k in range(1, 2049)}
     assert laid_out(many, 2048) == -(-sum(k * n for k, n in many.items()) // 2048)
     assert laid_out({683: 5, 1365: 4, 1024: 3, 700: 9}, 2048) <= 13
