@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -57,7 +58,7 @@ def preparation(features: Sequence[str]) -> list:
 
 
 def class_pipeline(features: Sequence[str], family: str, label: str = "ftr") -> Pipeline:
-    index = StringIndexer(inputCol=label, outputCol="label", handleInvalid="keep", stringOrderType="alphabetAsc")
+    index = StringIndexer(inputCol=label, outputCol="label", handleInvalid="error", stringOrderType="alphabetAsc")
     return Pipeline(stages=[index, *preparation(features), classifier(family)])
 
 
@@ -65,12 +66,13 @@ def as_double(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
-def fit_or_fallback(train: DataFrame, features: Sequence[str], family: str) -> PipelineModel:
-    """Fit the family; logistic regression when it fails."""
+def fit_or_fallback(train: DataFrame, features: Sequence[str], family: str) -> tuple[PipelineModel, str]:
+    """Fit the family, or logistic regression where Spark ML rejects the data (as naive Bayes does with constant
+    columns), and the family that was fitted."""
     try:
-        return class_pipeline(features, family).fit(train)
-    except Exception:  # a family may reject the data, as naive Bayes does with constant columns
-        return class_pipeline(features, "logistic_regression").fit(train)
+        return class_pipeline(features, family).fit(train), family
+    except PySparkException:
+        return class_pipeline(features, "logistic_regression").fit(train), "logistic_regression"
 
 
 def score(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) -> DataFrame:

@@ -126,7 +126,10 @@ def source_manifest(df: DataFrame, required: Sequence[str], odds: Sequence[str],
 
 def dq_scores(df: DataFrame, required: Sequence[str], non_negative: Sequence[str], as_of: str,
               keys: Sequence[str] = ("league",), wrong_types: int = 0) -> DataFrame:
-    """Completeness, consistency, timeliness, validity and their weighted total per key."""
+    """Completeness, consistency, timeliness, validity and their weighted total per key; without keys one row."""
+    if not keys:
+        whole = df.withColumn("league", F.lit("all"))
+        return dq_scores(whole, required, non_negative, as_of, ("league",), wrong_types).drop("league")
     keys = list(keys)
     lost = missing_columns(df, list(required))
     present = [c for c in required if c not in lost]

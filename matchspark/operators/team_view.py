@@ -41,8 +41,8 @@ def team_view(matches: DataFrame, keep: Sequence[str] = (), stats: Sequence[str]
         teams = ("home_team", "away_team") if home else ("away_team", "home_team")
         return F.struct(
             F.lit(1 if home else 0).alias("is_home"),
-            F.col(teams[0]).alias("team"),
-            F.col(teams[1]).alias("opponent"),
+            F.trim(F.col(teams[0])).alias("team"),
+            F.trim(F.col(teams[1])).alias("opponent"),
             *[F.col(src[i]).alias(name) for name, src in wanted.items()],
         )
 

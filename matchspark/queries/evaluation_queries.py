@@ -280,12 +280,12 @@ def importance_by_category(spark, folder):
     "consensus_vote",
     imp_sql(
         """SELECT feature, count(*) AS votes FROM (SELECT feature, row_number() OVER (PARTITION BY run ORDER BY importance DESC, feature)
-        AS rn FROM imp WHERE run < '2000') WHERE rn <= 3 GROUP BY feature HAVING count(*) >= 3"""
+        AS rn FROM imp) WHERE rn <= 3 GROUP BY feature HAVING count(*) >= 3"""
     ),
 )
 def consensus_vote(spark, folder):
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("importance"), "feature"))
-    votes = importance(spark, folder).filter("run < '2000'").withColumn("rn", rank).filter("rn <= 3")
+    votes = importance(spark, folder).withColumn("rn", rank).filter("rn <= 3")
     return E.consensus(votes.select("feature", F.col("run").alias("method")))

@@ -65,11 +65,11 @@ def _fit_table(spark, folder, families):
     train = train.cache()
     out = []
     for family in families:
-        model = M.fit_or_fallback(train, FEATURES, family)
+        model, fitted = M.fit_or_fallback(train, FEATURES, family)
         rows = M.score(model, test, ["match_id", "ftr"])
         metrics = E.class_metrics(rows, [], "ftr", "predicted")
         loss = E.log_loss(rows, [], F.expr("CASE ftr WHEN 'H' THEN p_h WHEN 'D' THEN p_d ELSE p_a END"))
-        out.append(metrics.withColumn("log_loss", loss.scalar()).withColumn("model", F.lit(family)))
+        out.append(metrics.withColumn("log_loss", loss.scalar()).withColumn("model", F.lit(fitted)))
     train.unpersist()
     return rounded(reduce(lambda a, b: a.unionByName(b), out))
 
@@ -112,7 +112,7 @@ def fit_regressors(spark, folder):
     for family in ("linear", "ridge", "lasso", "boosted_trees", "random_forest"):
         model = M.regression_pipeline(FEATURES, "fthg", M.regressor(family, n)).fit(train)
         rows = model.transform(test).select("fthg", "prediction")
-        out.append(E.regression_metrics(rows, [], "fthg", "prediction").withColumn("model", F.lit(family)))
+        out.append(E.regression_metrics(rows, [], "fthg", "prediction").withColumn("model", F.lit(fitted)))
     train.unpersist()
     return rounded(reduce(lambda a, b: a.unionByName(b), out))
 
