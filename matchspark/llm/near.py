@@ -33,7 +33,7 @@ COORDINATES = TREES * DEPTH
 SMALL = 256
 MAYBE = 0.70
 GROUP_SHINGLES = 2_000_000
-PIVOTS = 8
+PIVOTS = 256
 CHUNK_SHINGLES = 1_000_000
 SECOND_BRANCH = 18
 
@@ -287,24 +287,47 @@ def _large_groups(large: DataFrame, percent: int) -> DataFrame:
             return members.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+class _Pivots:
+    """Sets of a block of pivots behind one sorted list of their shingles, so that a text meets all of them at once."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]) -> None:
+        self.ids, self.sizes = ids, np.array([len(s) for s in sets], np.int64)
+        keys, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], owner[order]
+
+    def shared(self, values: np.ndarray) -> np.ndarray:
+        """Shingles that a sorted set has in common with each pivot."""
+        first = np.searchsorted(self.keys, values, side="left")
+        n = np.searchsorted(self.keys, values, side="right") - first
+        at = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], minlength=len(self.ids))
+
+
 def _near_pivots(percent: int, bridge: int):
     """Pairs (member, pivot) of at least the bridging similarity; pivots come first in each cell."""
 
     def run(batches):
-        cell, pivots = None, []
+        cell, ids, sets, block = None, [], [], None
         for batch in batches:
             out = []
             columns = [batch.column(c).to_pylist() for c in ("cell", "pivot", "id", "text")]
             for here, is_pivot, own, text in zip(*columns, strict=True):
                 if here != cell:
-                    cell, pivots = here, []
+                    cell, ids, sets, block = here, [], [], None
                 values = _set(text)
                 if is_pivot:
-                    pivots.append((own, values))
+                    ids.append(own)
+                    sets.append(values)
+                    continue
+                if not ids:
                     continue
-                for other, theirs in pivots:
-                    if own == other or linked(theirs, values, bridge):
-                        out.append((own, other, own == other or linked(theirs, values, percent)))
+                block = block or _Pivots(ids, sets)
+                shared = block.shared(values)
+                either = block.sizes + len(values) - shared
+                close = 100 * shared >= bridge * either
+                for k in np.flatnonzero(close).tolist():
+                    out.append((own, ids[k], bool(own == ids[k] or 100 * shared[k] >= percent * either[k])))
             if out:
                 a, b, c = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c)], ["id", "pivot", "link"])
