@@ -162,7 +162,8 @@ def chains(spark):
 
 def test_large_groups_lose_no_link(spark, monkeypatch):
     """Tiny limits send everything through deep nodes and rounds of pivots; also where links form long chains."""
-    monkeypatch.setattr(near, "SMALL", 3)
+    monkeypatch.setattr(near, "SMALL", 16)
+    monkeypatch.setattr(near, "PIVOTS", 8)
     monkeypatch.setattr(near, "GROUP_SHINGLES", 300)
     monkeypatch.setattr(near, "CHUNK_SHINGLES", 500)
     docs, rows = chains(spark)
