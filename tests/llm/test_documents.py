@@ -253,12 +253,12 @@ def test_op4_held_out(spark):
 
 def test_scores_of_odd_rows(spark):
     labels = spark.createDataFrame([(k, 0, k % 2) for k in range(200)] + [(None, 0, 1), (3, 0, None)], "doc_id bigint, quality int, toxic int")
-    docs = odd(spark, [(k, "vile words here" if k % 2 else "kind words here") for k in range(200)] + ODD)
+    docs = odd(spark, [(k, f"{'vile' if k % 2 else 'kind'} w{k}x w{k}y here") for k in range(200)] + ODD)
     rows = toxicity.report(docs, labels).collect()
     assert len(rows) == 200 + len(ODD) and all(0 <= r.score <= 1 for r in rows)
     clean = toxicity.without_toxic(docs, toxicity.fit(docs, labels))
     assert clean.columns == docs.columns
-    assert "vile words here" not in {r.text for r in clean.collect()}
+    assert not clean.filter("text LIKE 'vile%'").count() and clean.filter("text LIKE 'kind%'").count() == 100
 
 
 # pipeline
