@@ -12,6 +12,7 @@ that word is merged in that round, so the result is exact for every vocabulary.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterable
 
@@ -437,7 +438,8 @@ class ByteCoder(WordCoder):
     """A byte-level BPE vocabulary of the tokenizers library, given as its JSON text.
 
     Two kinds are known: plain (spaces belong to the following word) and lower-casing with word ends.
-    Strings of special tokens in a text are ordinary text.
+    The added tokens of the JSON are found in a text first, the leftmost and then the longest; each is one id, and what
+    lies between them is encoded as a text of its own.
     """
 
     #: How the two vocabularies cut a text before merging.
@@ -450,6 +452,11 @@ class ByteCoder(WordCoder):
         vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.folds = spec["normalizer"] is not None
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        for t in spec["added_tokens"]:
+            if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] and self.folds:
+                raise ValueError(f"added token {t['content']} is not found by its bare content")
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         letters = _byte_letters()
         if self.folds:
@@ -465,14 +472,29 @@ class ByteCoder(WordCoder):
             if any(vocab[a + b] != len(letters) + k for k, (a, b) in enumerate(merges)):
                 raise ValueError("ids don't follow the order of the merges, so they can't serve as ranks")
             byte = {c: bytes([b]) for b, c in enumerate(letters)}
-            special = {t["content"] for t in spec["added_tokens"]}
-            ranks = {b"".join(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
+            ranks = {b"".join(byte[c] for c in t): i for t, i in vocab.items() if t not in self.added}
             self.lib = tiktoken.Encoding("own", pat_str=self.CUT, mergeable_ranks=ranks, special_tokens={})
-            self.width = np.zeros(len(vocab) + 1, np.int64)
-            for t, i in ranks.items():
+            self.width = np.zeros(max([*vocab.values(), *self.added.values()]) + 1, np.int64)
+            for t, i in [*ranks.items(), *((t.encode(), i) for t, i in self.added.items())]:
                 self.width[i] = len(t)
         super().__init__()
 
+    def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        texts = list(texts)
+        if not any(t and any(mark in t for mark in self.added) for t in texts):
+            return super().encode(texts)
+        between, owner, mark = [], [], []  # mark: id of the added token after it, -1 at the end of a text
+        for k, text in enumerate(texts):
+            cut = self.marks.split(text) if text else [text]
+            between += cut[::2]
+            owner += [k] * len(cut[::2])
+            mark += [*(self.added[t] for t in cut[1::2]), -1]
+        flat, counts = super().encode(between)
+        mark = np.array(mark, np.int64)
+        marked = mark >= 0
+        flat = np.insert(flat, np.cumsum(counts)[marked], mark[marked])
+        return flat, np.bincount(owner, weights=counts + marked, minlength=len(texts)).astype(np.int64)
+
     def cuts(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces that can be encoded by themselves."""
         if self.folds:

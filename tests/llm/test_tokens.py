@@ -68,6 +68,27 @@ def test_byte_coder_equals_the_library(name):
     assert found == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+MARKED = [
+    "a<|endoftext|>b", "<|endoftext|>", "<|startoftext|>", "x <|endoftext|>  y", "<|endoftext|><|endoftext|> \n<|startoftext|>a",
+    "<|endoftext<|endoftext|>|>", "it's<|endoftext|>'s", "A <|ENDOFTEXT|> <|StartOfText|>b", "é\u0301<|endoftext|>\u0301x", None, "", "plain",
+]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_in_texts_are_single_ids(name):
+    from tokenizers import Tokenizer
+
+    path = common.vocabulary(name)
+    lib = Tokenizer.from_file(path)
+    rng = random.Random(6)
+    texts = MARKED + [rng.choice(["<|endoftext|>", "<|startoftext|>", " "]).join(rng.sample(strange(300, 7), 4)) for _ in range(500)]
+    mine = ByteCoder(common.read_file(path, text=True))
+    assert parts(*mine.encode(texts)) == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    if not mine.folds:
+        widths = [int(mine.width[ids].sum()) for ids in parts(*mine.encode(texts))]
+        assert widths == [len((t or "").encode()) for t in texts]
+
+
 def test_op1_digests(spark):
     import sentencepiece
 
