@@ -288,3 +288,23 @@ def test_pipeline_stages_bear_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = common.stored(stage(spark, docs, FOLDER), "test", "odd")
     assert docs.count() >= 8
+
+
+def test_copies_are_decided_by_row(spark):
+    """NULL ids, repeated rows and repeated ids with different texts."""
+    base = [f"w{k}" for k in range(120)]
+    text, like, other = " ".join(base), " ".join([*base[:119], "x"]), " ".join(f"v{k}" for k in range(120))
+    rows = [*ODD, (20, "twice"), (21, "twice"), (21, "own"), (21, "own"), (None, "no id"), (None, "twice"), (30, text), (31, like), (31, other), (None, text + " y")]
+    once = corpus_pipeline.drop_copies(spark, odd(spark, rows), FOLDER)
+    plain = {(2, ""), (3, ODD[2][1]), (4, "one"), (6, ODD[5][1]), *[r for r in ODD[6:9]], ODD[9], (None, "no id"), ODD[12], (21, "twice"), (21, "own")}
+    left = plain | {(30, text), (31, like), (31, other), (None, text + " y")}
+    for stage, want in ((lambda: once, left), (lambda: corpus_pipeline.drop_near_copies(spark, common.stored(once, "test", "rows"), FOLDER), plain | {(30, text), (31, other)})):
+        got = [(r.doc_id, r.text) for r in stage().collect()]
+        assert len(got) == len(want) and {(i, t or "") for i, t in got} == want
+
+
+def test_pipeline_keeps_exactly_these_odd_rows(spark):
+    docs = odd(spark)
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = common.stored(stage(spark, docs, FOLDER), "test", "odd-rows")
+    assert sorted((r.doc_id or 0) for r in docs.collect()) == [0, 2, 3, 4, 6, 7, 8, 9, 10, 11]
