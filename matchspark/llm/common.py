@@ -105,14 +105,6 @@ def coder(kind: type, model: bytes | str):
     return kind(model)
 
 
-def long_lists(rows) -> pa.ListArray:
-    """A matrix of 64-bit integers as lists of equal length."""
-    import numpy as np
-
-    height, width = rows.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(height + 1) * width, pa.int32()), pa.array(rows.ravel(), pa.int64()))
-
-
 def vocabulary(name: str) -> str:
     """Place of a public vocabulary file."""
     import public_tokenizers

@@ -2,11 +2,12 @@
 
 1. Each text becomes its set of distinct 5-word shingles (64-bit hashes) and ``COORDINATES`` minwise tokens. Equal sets
    are one class from here on.
-2. ``TREES`` independent trees: the root branches by a minwise token, a node that is larger than ``SMALL`` branches
-   again by the next one (now and then by two, 1 / 0.85 on average). Small nodes are compared exhaustively on their
-   minwise tokens; what may be similar is tied together. A node that is still large after ``DEPTH`` levels agrees on as
-   many tokens and is tied as a whole. A pair of similarity .85 misses all trees with chance (1 - .85)^8 < 1e-6 where
-   nodes get small at once.
+2. Trees: each root branches by a minwise token of its own, a node that is larger than ``SMALL`` branches again by one
+   that its path chooses (now and then by two). Small nodes are compared exhaustively on eight bits of each minwise
+   token; what may be similar is tied together. A node that is still large after ``DEPTH`` levels is tied as a whole.
+   All sets are in the first trees; those that meet a large root are in all. ``layout`` takes as many trees, and a
+   cut of the comparison so low, that by its binomial figures a pair of the given similarity is lost with chance
+   ``LOSS`` at most, even where no node ever gets small.
 3. Ties make candidate groups. Within a group every pair in different parts is checked on the full sets; groups too
    large for a task are checked against blocks of pivots in rounds. By the triangle inequality of the Jaccard
    distance a link between the stars of two pivots has an end whose similarity to the other pivot is .70 or more;
@@ -18,6 +19,8 @@ Rows that repeat an id count as one. An empty table gives an empty table. NULL i
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,19 +31,39 @@ from matchspark.llm import common
 from matchspark.llm.merging import BLANK, WordCoder, word_hashes
 
 SHINGLE = 5
-TREES, DEPTH = 8, 8
-COORDINATES = TREES * DEPTH
+DEPTH = 8
+COORDINATES = 128
 SMALL = 256
-MAYBE = 0.70
+LOSS = 1e-6
 GROUP_SHINGLES = 2_000_000
 PIVOTS = 256
 CHUNK_SHINGLES = 1_000_000
-SECOND_BRANCH = 18
+SECOND_BRANCH = 25
 
 _ODD = np.random.default_rng(20240501).integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+def layout(percent: int) -> tuple[int, int, int]:
+    """Trees for all sets, trees for sets that meet a large root, and the least number of equal minwise tokens.
+
+    A third of ``LOSS`` each for pairs that share no root of the first trees, that lose each other in every tree before
+    the full depth, and that agree on too few tokens. The tokens that a pair shares are binomial; given their number,
+    the trees, whose paths choose from all tokens, are taken as independent.
+    """
+    s, part, two = percent / 100, LOSS / 3, SECOND_BRANCH / 100
+    k = np.arange(COORDINATES + 1)
+    chance = np.array([math.comb(COORDINATES, i) * s**i * (1 - s) ** (COORDINATES - i) for i in k.tolist()])
+    alike = k / COORDINATES
+    lives = np.ones(len(k))
+    for _ in range(DEPTH - 1):
+        lives = (1 - two) * alike * lives + two * (1 - (1 - alike * lives) ** 2)
+    lost = 1 - alike * lives
+    first = next(n for n in range(1, COORDINATES + 1) if (1 - s) ** n <= part)
+    every = next(n for n in range(first, COORDINATES + 1) if chance @ lost**n <= part)
+    return first, every, int(np.searchsorted(np.cumsum(chance), part, side="right"))
+
+
 def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of all texts, one text after another and with repeats, and how many each text has."""
     joined = b"\xff".join([*[t.encode("utf-8", "surrogatepass").lower() for t in texts], b""])
@@ -70,24 +93,29 @@ def _sketches(batches):
             hashes, sizes = shingle_hashes(part.column("text").to_pylist())
             edges = np.r_[0, np.cumsum(sizes)]
             full = np.flatnonzero(sizes)
-            least = np.zeros((len(sizes), COORDINATES), np.int64)
+            least = np.zeros((len(sizes), COORDINATES), np.int32)
             if len(full):
                 for c in range(COORDINATES):
                     mixed = hashes * _ODD[c]
                     mixed ^= mixed >> np.uint64(29)
-                    least[full, c] = np.minimum.reduceat(mixed * _ODD[c - 1], edges[full]).view(np.int64)
+                    least[full, c] = np.minimum.reduceat(mixed * _ODD[c - 1], edges[full]).astype(np.uint32).view(np.int32)
             distinct, keys = [], []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 own = np.unique(hashes[a:b])
                 distinct.append(len(own))
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()) if b > a else None)
-            sketch = common.long_lists(least)
+            sketch = common.list_array(least.ravel(), np.full(len(sizes), COORDINATES))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(distinct, pa.int64()), pa.array(keys, pa.binary()), sketch],
-                ["doc_id", "n_shingles", "set_key", "sketch"],
+                [part.column("doc_id"), pa.array(distinct, pa.int64()), pa.array(keys, pa.binary()), sketch, pa.array(brief(least), pa.binary())],
+                ["doc_id", "n_shingles", "set_key", "sketch", "brief"],
             )
 
 
+def brief(least: np.ndarray) -> list[bytes]:
+    """Eight bits of each minwise token; different tokens seem equal now and then, which only adds candidates."""
+    return [row.tobytes() for row in (least & 255).astype(np.uint8)]
+
+
 def _groups(batches, key: str):
     """Rows of each value of a key from a stream sorted by it, as one batch; groups must fit in memory."""
     held: list[pa.RecordBatch] = []
@@ -122,22 +150,26 @@ class _Parts:
         self.up[max(a, b)] = min(a, b)
 
 
-def _tie_node(batches):
+def _tie_node(cut: int):
     """For each small node, ties from members to the least member of their part."""
-    for node in _groups(batches, "node"):
-        ids = np.asarray(node.column("id"))
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        flat = node.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(ids), COORDINATES)[order]
-        parts = _Parts(len(ids))
-        for k in range(len(ids) - 1):
-            same = (flat[k + 1 :] == flat[k]).mean(axis=1)
-            for other in (np.flatnonzero(same >= MAYBE) + k + 1).tolist():
-                parts.tie(k, other)
-        tops = np.array([parts.top(k) for k in range(len(ids))])
-        keep = tops != np.arange(len(ids))
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[tops[keep]])], ["a", "b"])
+
+    def run(batches):
+        for node in _groups(batches, "node"):
+            ids = np.asarray(node.column("id"))
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            flat = np.frombuffer(b"".join(node.column("brief").to_pylist()), np.uint8).reshape(len(ids), COORDINATES)[order]
+            parts = _Parts(len(ids))
+            for k in range(len(ids) - 1):
+                same = np.count_nonzero(flat[k + 1 :] == flat[k], axis=1)
+                for other in (np.flatnonzero(same >= cut) + k + 1).tolist():
+                    parts.tie(k, other)
+            tops = np.array([parts.top(k) for k in range(len(ids))])
+            keep = tops != np.arange(len(ids))
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[tops[keep]])], ["a", "b"])
+
+    return run
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -190,32 +222,40 @@ def components(ties: DataFrame) -> DataFrame:
             return labels.select(F.col("a").alias("id"), "component")
 
 
-def candidate_ties(reps: DataFrame) -> DataFrame:
-    """Ties (a, b) between sets that may be similar; ``reps`` has id and sketch."""
-    kind = "a bigint, b bigint"
-    members = reps.select("id", F.explode(F.array(*[
-        F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.get("sketch", F.lit(t * DEPTH))).alias("node")) for t in range(TREES)
-    ])).alias("n")).select("id", "n.tree", "n.node")
+def candidate_ties(reps: DataFrame, percent: int) -> DataFrame:
+    """Ties (a, b) between sets that may be similar; ``reps`` has id, sketch and brief."""
+    first, every, cut = layout(percent)
     out = []
-    for level in range(1, DEPTH + 1):
+
+    def roots(rows: DataFrame, trees: range) -> DataFrame:
+        nodes = F.array(*[F.xxhash64(F.lit(t), F.get("sketch", F.lit(t))) for t in trees])
+        return rows.select("id", F.explode(nodes).alias("node"))
+
+    def large_of(members: DataFrame) -> DataFrame:
+        """Members of large nodes; small nodes are compared."""
         members = common.stored(members)
         sizes = common.stored(members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
         members = common.stored(common.join_groups(members, sizes, "node", "n"))
-        leaves = members.filter(F.col("n") <= SMALL).select("node", "id").join(reps.select("id", "sketch"), "id")
-        out.append(leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_tie_node, kind))
-        large = members.filter(F.col("n") > SMALL)
+        leaves = members.filter(F.col("n") <= SMALL).select("node", "id").join(reps.select("id", "brief"), "id")
+        out.append(leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_tie_node(cut), "a bigint, b bigint"))
+        return members.filter(F.col("n") > SMALL)
+
+    large = large_of(roots(reps, range(first)))
+    if every > first and not large.isEmpty():
+        met = common.stored(large.select("id").distinct())
+        large = large.unionByName(large_of(roots(reps.select("id", "sketch").join(met, "id"), range(first, every))))
+    for level in range(1, DEPTH):
         if large.isEmpty():
             break
-        if level == DEPTH:
-            pivots = common.stored(large.groupBy("node").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")))
-            tied = common.join_groups(large.select("node", F.col("id").alias("a")), pivots, "node", "n")
-            out.append(tied.filter("a <> b").select("a", "b"))
-            break
-        at = F.col("tree") * DEPTH + level
-        second = F.when(F.pmod("node", F.lit(100)) < SECOND_BRANCH, F.pmod(at + 29, F.lit(COORDINATES)))
-        branch = F.explode(F.filter(F.array(at, second), lambda c: c.isNotNull()))
-        wide = large.select("tree", "node", "id", branch.alias("c")).join(reps.select("id", "sketch"), "id")
-        members = wide.select("id", "tree", F.xxhash64("node", "c", F.get("sketch", F.col("c"))).alias("node"))
+        one, other = (F.pmod(F.xxhash64("node", F.lit(way)), F.lit(COORDINATES)).cast("int") for way in (level, -level))
+        second = F.when(F.pmod("node", F.lit(100)) < SECOND_BRANCH, other)
+        branch = F.explode(F.array_distinct(F.filter(F.array(one, second), lambda c: c.isNotNull())))
+        wide = large.select("node", "id", branch.alias("c")).join(reps.select("id", "sketch"), "id")
+        large = large_of(wide.select("id", F.xxhash64("node", "c", F.get("sketch", F.col("c"))).alias("node")))
+    if not large.isEmpty():
+        pivots = common.stored(large.groupBy("node").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")))
+        tied = common.join_groups(large.select("node", F.col("id").alias("a")), pivots, "node", "n")
+        out.append(tied.filter("a <> b").select("a", "b"))
     ties = out[0]
     for more in out[1:]:
         ties = ties.union(more)
@@ -227,11 +267,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     if percent < 80:
         raise ValueError("trees and pivots are laid out for similarities of 80 hundredths or more")
     texts = common.texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sketched = common.stored(texts.mapInArrow(_sketches, "doc_id bigint, n_shingles bigint, set_key binary, sketch array<bigint>"))
+    sketched = common.stored(texts.mapInArrow(_sketches, "doc_id bigint, n_shingles bigint, set_key binary, sketch array<int>, brief binary"))
     classes = common.stored(sketched.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief")
     ))
-    ties = common.stored(candidate_ties(classes.select("id", "sketch")))
+    ties = common.stored(candidate_ties(classes.select("id", "sketch", "brief"), percent))
     groups = components(ties).withColumnRenamed("component", "group")
     sized = common.stored(groups.join(classes.groupBy("id").agg(F.max("size").alias("size")), "id"))
     totals = common.stored(sized.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")))
@@ -246,8 +286,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     if not large.isEmpty():
         done = done.union(_large_groups(large, percent))
     labels = done.groupBy("id").agg(F.min("component").alias("component"))
-    named = common.stored(classes.drop("sketch").join(labels, "id", "left").select("set_key", "n", F.coalesce("component", "id").alias("component")))
-    rows = sketched.drop("sketch")
+    named = common.stored(classes.drop("sketch", "brief").join(labels, "id", "left").select("set_key", "n", F.coalesce("component", "id").alias("component")))
+    rows = sketched.drop("sketch", "brief")
     full = common.join_groups(rows.filter("set_key IS NOT NULL AND doc_id IS NOT NULL"), named, "set_key", "n")
     alone = rows.filter("set_key IS NULL OR doc_id IS NULL").withColumn("component", F.col("doc_id"))
     both = full.select("doc_id", "n_shingles", "component").unionByName(alone.select("doc_id", "n_shingles", "component"))

@@ -170,6 +170,24 @@ def test_large_groups_lose_no_link(spark, monkeypatch):
     assert found(near.near_duplicates(docs)) == plain_components(rows)
 
 
+def pairs_at_the_limit(n):
+    """Pairs of texts, each of exactly 85 hundredths: 102 of 120 shingles."""
+    for k in range(n):
+        words = [f"p{k}w{j}" for j in range(124)]
+        yield from ((2 * k, " ".join(words[:115])), (2 * k + 1, " ".join(words[9:])))
+
+
+@pytest.mark.parametrize("small", [near.SMALL, 1])
+def test_no_pair_at_the_limit_is_lost(spark, monkeypatch, small):
+    """With small nodes, which are compared, and where nodes stay large down to the full depth."""
+    monkeypatch.setattr(near, "SMALL", small)
+    docs = common.texts(spark.createDataFrame(list(pairs_at_the_limit(4000)), "doc_id bigint, text string"))
+    kinds = "doc_id bigint, n_shingles bigint, set_key binary, sketch array<int>, brief binary"
+    reps = common.stored(docs.mapInArrow(near._sketches, kinds).withColumnRenamed("doc_id", "id").select("id", "sketch", "brief"), "test", "reps")
+    ties = near.candidate_ties(reps, 85).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    assert ties.filter("a % 2 = 0 AND b = a + 1").count() == 4000
+
+
 def test_near_copies_of_odd_rows(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in near.near_duplicates(odd(spark)).collect()]
     assert len(got) == len(ODD)
