@@ -7,7 +7,9 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchspark.llm import attribution, common, exact, fingerprints, id_files, near, packing, pieces, secrets, toxicity, warc
+from matchspark.llm import (
+    attribution, common, exact, fingerprints, id_files, near, packing, personal, pieces, resampling, secrets, toxicity, vector_codes, warc,
+)
 from matchspark.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +93,21 @@ def warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every line of every document."""
     return attribution.section_tokens(common.table(spark, folder, "documents"), common.vocabulary("byte_bpe_50k.json"))
+
+
+@query("op11_pii")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document."""
+    return personal.digests(personal.find(common.table(spark, folder, "documents")))
+
+
+@query("op12_vector_codes", vector_codes.report_sql())
+def vector_code_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of every embedding after two rounds over the codebooks."""
+    return vector_codes.report(common.table(spark, folder, "embeddings"))
+
+
+@query("op13_resampling")
+def importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight, score and draw of every document, with the benchmark as the target."""
+    return resampling.resample(common.table(spark, folder, "documents"), common.table(spark, folder, "benchmark"))
