@@ -48,7 +48,7 @@ def plain_personal(text):
 PERSONAL = [
     "a@b.c_d@e.f.g..h x@y z@-.- .@a.b a@b.c@d.e", "é😀 mail: né.e@x.io, tel +1 (017) 555-7713 +++12345678901 +1()2 +12", "1.2.3.4.5.6.7.8 256.1.1.1 0001.02.3.00255 1.2.3",
     "4111 1111 1111 1111 4111-1111-1111-1112 4111  1111 79927398713 0000000000000000 12", "+1 555 555 5555 5555 5555", "a@" * 50 + "b.c" + ".d" * 300 + " " + "1-" * 40,
-    "x" * 30000 + "@" + "y" * 30000, "9" * 30000, "+1" + "(" * 20000, "e@f.gh " * 700,
+    "x" * 4000 + "@" + "y" * 4000, "9" * 4000, "+1" + "(" * 20000, "e@f.gh " * 700,
 ]
 
 
