@@ -58,8 +58,8 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 30) ->
     bounds = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
     width = F.nullif((hi - lo) / bins, F.lit(0.0))
-    place = F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1))
-    index = F.when(F.col(value).isNotNull(), F.coalesce(place, F.lit(0))).cast("int")
+    place = F.when(width.isNull(), 0).otherwise(F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1)))
+    index = F.when(F.col(value).isNotNull(), place).cast("int")
     return df.groupBy(*keys, index.alias("bin")).agg(F.count("*").alias("n"))
 
 

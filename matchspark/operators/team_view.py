@@ -30,7 +30,7 @@ def team_view(matches: DataFrame, keep: Sequence[str] = (), stats: Sequence[str]
     """Home and away rows from one scan: each match row is exploded into two structs.
 
     Columns inside the structs cannot be pruned by the optimizer, so name the ``stats`` that are
-    needed; points are added when both goal columns are among them.
+    needed; points are added when both goal columns are among them. Team names are taken as they are: sources trim them.
     """
     wanted = SIDE_STATS if stats is None else {n: SIDE_STATS[n] for n in stats}
     base = ["match_id", "league", "season", "match_date", "home_team", "away_team", *keep]
@@ -41,8 +41,8 @@ def team_view(matches: DataFrame, keep: Sequence[str] = (), stats: Sequence[str]
         teams = ("home_team", "away_team") if home else ("away_team", "home_team")
         return F.struct(
             F.lit(1 if home else 0).alias("is_home"),
-            F.trim(F.col(teams[0])).alias("team"),
-            F.trim(F.col(teams[1])).alias("opponent"),
+            F.col(teams[0]).alias("team"),
+            F.col(teams[1]).alias("opponent"),
             *[F.col(src[i]).alias(name) for name, src in wanted.items()],
         )
 

@@ -54,14 +54,28 @@ def scan_seasons(spark: SparkSession, *paths: str, schema: str = SEASON_SCHEMA)
     out = frames[0]
     for df in frames[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
-    return out
+    return trimmed(out)
+
+
+TEAMS = {"HomeTeam", "AwayTeam", "home_team", "away_team", "team", "opponent"}
+"""Columns that hold team names."""
 
 
 def canonical(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """Project to the canonical list; absent columns are typed NULLs."""
-    return df.select(*[
-        (F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()
-    ])
+    """Project to the canonical list; absent columns are typed NULLs.
+
+    Team names lose their outer blanks here, where matches enter, so that every operator behind sees one spelling.
+    """
+    def column(name: str, kind: str) -> Column:
+        value = (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+        return (F.trim(value) if name in TEAMS and kind == "string" else value).alias(name)
+
+    return df.select(*[column(c, t) for c, t in columns.items()])
+
+
+def trimmed(matches: DataFrame) -> DataFrame:
+    """Matches from elsewhere with team names trimmed as ``canonical`` does; a side that meets itself stays a row."""
+    return matches.withColumns({c: F.trim(c) for c in matches.columns if c in TEAMS})
 
 
 def roundtrip_parquet(df: DataFrame, path: str, *partitions: str) -> DataFrame:

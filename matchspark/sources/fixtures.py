@@ -29,8 +29,8 @@ def derive_fixtures(spark: SparkSession, folder: str) -> DataFrame:
         .select("l_orderkey", "line.*")
     )
     nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
-    home = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("home_team"))
-    away = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("away_team"))
+    home = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.trim("n_name").alias("home_team"))
+    away = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.trim("n_name").alias("away_team"))
     joined = (
         table(spark, folder, "orders")
         .join(first_line, F.col("o_orderkey") == F.col("l_orderkey"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from matchspark.operators import exceptions as E
 from matchspark.operators import monitor as M
+from matchspark.operators import ratings as R
 from matchspark.operators import splits as S
 from matchspark.operators import statistics as T
+from matchspark.operators import windows as W
 from matchspark.sources import files
 
 DAY = datetime.date(2024, 1, 1)
@@ -57,3 +59,15 @@ def test_season_files_with_their_own_headers(spark, tmp_path):
 def test_folds_of_a_short_league(spark):
     rows = S.ts_folds(spark.createDataFrame(random_rows()[:3], SCHEMA)).collect()
     assert {r.fold for r in rows} == {0}
+
+
+@pytest.mark.parametrize("operator", [R.prior_rank, R.elo_ratings, W.h2h_last6, R.temporal_features])
+def test_blanks_around_team_names(spark, operator):
+    """Trimmed matches give what clean ones do; untrimmed ones lose no row."""
+    clean = spark.createDataFrame(random_rows(), SCHEMA)
+    blank = F.when(F.col("match_id") % 2 == 0, F.concat("home_team", F.lit("  "))).otherwise(F.col("home_team"))
+    raw = clean.withColumn("home_team", blank)
+    want = sorted(map(str, operator(clean).collect()))
+    assert len(want) == 400
+    assert sorted(map(str, operator(files.trimmed(raw)).collect())) == want
+    assert operator(raw).count() == 400
