@@ -1,15 +1,16 @@
 """Near duplicates by a chosen-path similarity join on shingle sets, links confirmed on the full sets.
 
-1. Each text becomes its set of distinct 5-word shingles (64-bit hashes) and ``COORDINATES`` minwise tokens. Equal sets
-   are one class from here on.
+1. Each text becomes its set of distinct 5-word shingles (64-bit hashes) and ``COORDINATES`` minwise tokens: eight bits of
+   each (``brief``), and the whole of the first ``ROOTS`` (``sketch``). Equal sets are one class from here on.
 2. Trees: each root branches by a minwise token of its own, a node that is larger than ``SMALL`` branches again by one
-   that its path chooses (now and then by two). Small nodes are compared exhaustively on eight bits of each minwise
-   token; what may be similar is tied together. A node that is still large after ``DEPTH`` levels is tied as a whole.
+   that its path chooses (now and then by two). Small nodes are compared exhaustively on the brief tokens, equal ones
+   as one; what may be similar is tied together. A node that is still large after ``DEPTH`` levels is tied as a whole.
    All sets are in the first trees; those that meet a large root are in all. ``layout`` takes as many trees, and a
    cut of the comparison so low, that by its binomial figures a pair of the given similarity is lost with chance
-   ``LOSS`` at most, even where no node ever gets small.
-3. Ties make candidate groups. Within a group every pair in different parts is checked on the full sets; groups too
-   large for a task are checked against blocks of pivots in rounds. By the triangle inequality of the Jaccard
+   ``LOSS`` at most, even where no node ever gets small. With so many tokens the cut lies at about three quarters, so
+   texts that only share a passage are hardly ever tied.
+3. Ties make candidate groups. Within a group every pair is checked on the full sets behind one list of its shingles;
+   groups too large for a task (members times shingles above ``GROUP_WORK``) are checked against blocks of pivots in rounds. By the triangle inequality of the Jaccard
    distance a link between the stars of two pivots has an end whose similarity to the other pivot is .70 or more;
    such texts become pivots themselves, so no link between parts is lost.
 
@@ -32,11 +33,13 @@ from matchspark.llm.merging import BLANK, WordCoder, word_hashes
 
 SHINGLE = 5
 DEPTH = 8
-COORDINATES = 128
-SMALL = 256
+COORDINATES = 256
+ROOTS = 64
+SMALL = 2048
 LOSS = 1e-6
 GROUP_SHINGLES = 2_000_000
-PIVOTS = 256
+GROUP_WORK = 2_000_000_000
+PIVOTS = 512
 CHUNK_SHINGLES = 1_000_000
 SECOND_BRANCH = 25
 
@@ -60,7 +63,7 @@ def layout(percent: int) -> tuple[int, int, int]:
         lives = (1 - two) * alike * lives + two * (1 - (1 - alike * lives) ** 2)
     lost = 1 - alike * lives
     first = next(n for n in range(1, COORDINATES + 1) if (1 - s) ** n <= part)
-    every = next(n for n in range(first, COORDINATES + 1) if chance @ lost**n <= part)
+    every = next(n for n in range(first, ROOTS + 1) if chance @ lost**n <= part)
     return first, every, int(np.searchsorted(np.cumsum(chance), part, side="right"))
 
 
@@ -93,18 +96,19 @@ def _sketches(batches):
             hashes, sizes = shingle_hashes(part.column("text").to_pylist())
             edges = np.r_[0, np.cumsum(sizes)]
             full = np.flatnonzero(sizes)
-            least = np.zeros((len(sizes), COORDINATES), np.int32)
+            least = np.zeros((len(sizes), COORDINATES), np.uint32)
             if len(full):
                 for c in range(COORDINATES):
                     mixed = hashes * _ODD[c]
                     mixed ^= mixed >> np.uint64(29)
-                    least[full, c] = np.minimum.reduceat(mixed * _ODD[c - 1], edges[full]).astype(np.uint32).view(np.int32)
+                    mixed *= _ODD[c - 1]
+                    least[full, c] = np.minimum.reduceat(mixed, edges[full]).astype(np.uint32)
             distinct, keys = [], []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 own = np.unique(hashes[a:b])
                 distinct.append(len(own))
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()) if b > a else None)
-            sketch = common.list_array(least.ravel(), np.full(len(sizes), COORDINATES))
+            sketch = common.list_array(least[:, :ROOTS].ravel().view(np.int32), np.full(len(sizes), ROOTS))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(distinct, pa.int64()), pa.array(keys, pa.binary()), sketch, pa.array(brief(least), pa.binary())],
                 ["doc_id", "n_shingles", "set_key", "sketch", "brief"],
@@ -134,20 +138,16 @@ def _groups(batches, key: str):
 
 
 class _Parts:
-    """Union-find over positions, the smallest position on top."""
+    """Parts of positions, each named by its smallest one."""
 
     def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+        self.of = np.arange(n)
 
-    def top(self, k: int) -> int:
-        while self.up[k] != k:
-            self.up[k] = self.up[self.up[k]]
-            k = self.up[k]
-        return k
-
-    def tie(self, a: int, b: int) -> None:
-        a, b = self.top(a), self.top(b)
-        self.up[max(a, b)] = min(a, b)
+    def tie(self, k: int, others: np.ndarray) -> None:
+        """One part for all parts of these positions."""
+        met = np.unique(np.r_[self.of[k], self.of[others]])
+        if len(met) > 1:
+            self.of[np.isin(self.of, met)] = met[0]
 
 
 def _tie_node(cut: int):
@@ -158,13 +158,17 @@ def _tie_node(cut: int):
             ids = np.asarray(node.column("id"))
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
-            flat = np.frombuffer(b"".join(node.column("brief").to_pylist()), np.uint8).reshape(len(ids), COORDINATES)[order]
-            parts = _Parts(len(ids))
-            for k in range(len(ids) - 1):
-                same = np.count_nonzero(flat[k + 1 :] == flat[k], axis=1)
-                for other in (np.flatnonzero(same >= cut) + k + 1).tolist():
-                    parts.tie(k, other)
-            tops = np.array([parts.top(k) for k in range(len(ids))])
+            rows = np.frombuffer(b"".join(node.column("brief").to_pylist()), np.uint8).reshape(len(ids), COORDINATES)[order]
+            flat, first, same = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+            parts = _Parts(len(flat))
+            for k in range(len(flat) - 1):
+                others = np.flatnonzero(parts.of[k + 1 :] != parts.of[k]) + k + 1
+                alike = np.count_nonzero(flat[others] == flat[k], axis=1) >= cut
+                if alike.any():
+                    parts.tie(k, others[alike])
+            least = np.full(len(flat), len(ids))
+            np.minimum.at(least, parts.of, first)
+            tops = least[parts.of][same.ravel()]
             keep = tops != np.arange(len(ids))
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[tops[keep]])], ["a", "b"])
@@ -172,14 +176,6 @@ def _tie_node(cut: int):
     return run
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets reach a Jaccard similarity of so many hundredths."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    shared = len(a) + len(b) - len(np.union1d(a, b))
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
-
-
 def _set(text: str) -> np.ndarray:
     return np.unique(shingle_hashes([text])[0])
 
@@ -190,12 +186,12 @@ def _link_group(percent: int):
             ids, texts = group.column("id").to_pylist(), group.column("text").to_pylist()
             order = sorted(range(len(ids)), key=ids.__getitem__)
             ids, sets = [ids[k] for k in order], [_set(texts[k]) for k in order]
-            parts = _Parts(len(ids))
-            for k in range(1, len(ids)):
-                for other in range(k):
-                    if (ids[other] == ids[k] or parts.top(other) != parts.top(k)) and (ids[other] == ids[k] or linked(sets[other], sets[k], percent)):
-                        parts.tie(other, k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([ids[parts.top(k)] for k in range(len(ids))], pa.int64())], ["id", "component"])
+            block, parts, at = _Block(ids, sets), _Parts(len(ids)), np.array(ids)
+            for k, own in enumerate(sets):
+                shared = block.shared(own)
+                either = block.sizes + len(own) - shared
+                parts.tie(k, np.flatnonzero((100 * shared >= percent * either) & (shared > 0) | (at == ids[k])))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at[parts.of], pa.int64())], ["id", "component"])
 
     return run
 
@@ -250,8 +246,8 @@ def candidate_ties(reps: DataFrame, percent: int) -> DataFrame:
         one, other = (F.pmod(F.xxhash64("node", F.lit(way)), F.lit(COORDINATES)).cast("int") for way in (level, -level))
         second = F.when(F.pmod("node", F.lit(100)) < SECOND_BRANCH, other)
         branch = F.explode(F.array_distinct(F.filter(F.array(one, second), lambda c: c.isNotNull())))
-        wide = large.select("node", "id", branch.alias("c")).join(reps.select("id", "sketch"), "id")
-        large = large_of(wide.select("id", F.xxhash64("node", "c", F.get("sketch", F.col("c"))).alias("node")))
+        wide = large.select("node", "id", branch.alias("c")).join(reps.select("id", "brief"), "id")
+        large = large_of(wide.select("id", F.xxhash64("node", "c", F.substring(F.col("brief"), F.col("c") + 1, F.lit(1))).alias("node")))
     if not large.isEmpty():
         pivots = common.stored(large.groupBy("node").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")))
         tied = common.join_groups(large.select("node", F.col("id").alias("a")), pivots, "node", "n")
@@ -275,7 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     groups = components(ties).withColumnRenamed("component", "group")
     sized = common.stored(groups.join(classes.groupBy("id").agg(F.max("size").alias("size")), "id"))
     totals = common.stored(sized.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")))
-    small = (F.col("n") <= SMALL) & (F.col("total") <= GROUP_SHINGLES)
+    small = (F.col("n") * F.col("total") <= GROUP_WORK) & (F.col("total") <= GROUP_SHINGLES)
     wanted = common.join_groups(sized.select("id", "group"), totals, "group", "n").withColumn("small", small)
     members = wanted.join(texts.withColumnRenamed("doc_id", "id"), "id")
     members = common.stored(members)
@@ -327,8 +323,8 @@ def _large_groups(large: DataFrame, percent: int) -> DataFrame:
             return members.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-class _Pivots:
-    """Sets of a block of pivots behind one sorted list of their shingles, so that a text meets all of them at once."""
+class _Block:
+    """Sets of a group or of a block of pivots behind one sorted list of their shingles, so that a text meets all of them at once."""
 
     def __init__(self, ids: list[int], sets: list[np.ndarray]) -> None:
         self.ids, self.sizes = ids, np.array([len(s) for s in sets], np.int64)
@@ -362,7 +358,7 @@ def _near_pivots(percent: int, bridge: int):
                     continue
                 if not ids:
                     continue
-                block = block or _Pivots(ids, sets)
+                block = block or _Block(ids, sets)
                 shared = block.shared(values)
                 either = block.sizes + len(values) - shared
                 close = 100 * shared >= bridge * either
