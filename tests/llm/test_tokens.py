@@ -157,6 +157,30 @@ def test_files_of_odd_rows_and_damage(spark):
     assert id_files.report(spark, none).count() == 0
 
 
+def test_crcs_of_pieces_add_up():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        parts = [rng.integers(0, 1 << 32, rng.integers(0, 5000), dtype=np.uint32) for _ in range(rng.integers(1, 6))]
+        whole = zlib.crc32(b"".join(p.tobytes() for p in parts))
+        assert id_files.crc_of([(len(p), zlib.crc32(p.tobytes())) for p in parts]) == whole
+
+
+def test_files_of_repeated_ids_in_several_parts(spark):
+    """Rows of one id with equal and other texts, long ones over many blocks; ids come back whole."""
+    path = scratch_dir(spark, "test", "repeated-files")
+    rows = [(k % 7, f"text {k % 11} " * (1 + 900 * (k % 5))) for k in range(60)] + [(None, "a " * 5000)] * 2
+    id_files.write(odd(spark, rows), path, common.vocabulary("word_bpe_49k.json"))
+    got = id_files.report(spark, path).collect()
+    lib = pytest.importorskip("tokenizers").Tokenizer.from_file(common.vocabulary("word_bpe_49k.json"))
+    ids = [(i, np.array([*lib.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in rows]
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(i), len(b) // 4, zlib.crc32(b)) for i, b in ids)
+    spans = sorted((r.start, r.n_tokens) for r in got)
+    assert [a for a, _ in spans] == np.r_[0, np.cumsum([n for _, n in spans])][:-1].tolist()
+    in_order = [r.doc_id for r in sorted(got, key=lambda r: r.start) if r.doc_id is not None]
+    assert in_order == sorted(in_order)
+    assert sorted((str(r.doc_id), bytes(r.ids)) for r in id_files.read(spark, path).collect()) == sorted((str(i), b) for i, b in ids)
+
+
 def laid_out(histogram, capacity):
     """Bins of a plan, after checking that ranks are covered once and bins have no gaps."""
     bins, seen = {}, {}
