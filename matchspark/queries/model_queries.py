@@ -141,26 +141,6 @@ def feature_select(spark, folder):
     return rounded(reduce(lambda a, b: a.unionByName(b), chosen))
 
 
-@query("permutation_importance")
-def permutation_importance(spark, folder):
-    """Rise of the error when a feature, or a pair of features, is permuted; interaction of the pair."""
-    train, test = parts(spark, folder)
-    test = M.as_double(test, ["fthg"]).select("match_id", "fthg", *FEATURES).cache()
-    model = M.regression_pipeline(FEATURES, "fthg", M.regressor("linear", 0)).fit(M.as_double(train, ["fthg"]))
-    base = M.rmse(model, test, "fthg")
-
-    def rise(*columns):
-        return M.rmse(model, M.shuffled(test, "match_id", columns, 7), "fthg") - base
-
-    single = {c: rise(c) for c in FEATURES[:4]}
-    rows = [(c, v, None) for c, v in single.items()]
-    a, b = FEATURES[0], FEATURES[3]
-    joint = rise(a, b)
-    test.unpersist()
-    rows.append((f"{a} x {b}", joint, joint - single[a] - single[b]))
-    return rounded(spark.createDataFrame(rows, "feature string, importance double, interaction double"))
-
-
 @query("cv_metrics")
 def cv_metrics(spark, folder):
     """Expanding time-series folds: fit on the blocks before, measure on the block."""

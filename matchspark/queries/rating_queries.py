@@ -153,7 +153,7 @@ WHOLE = {
 }
 
 
-def _features_sql() -> str:
+def features_sql() -> str:
     cols = []
     for name in R.feature_columns():
         expr = FEATURE_SQL.get(name, name)
@@ -170,6 +170,6 @@ def _features_sql() -> str:
     )
 
 
-@query("temporal_features", _features_sql())
+@query("temporal_features", features_sql())
 def temporal_features(spark, folder):
     return rounded(R.temporal_features(contests(spark, folder)), 4)

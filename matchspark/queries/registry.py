@@ -26,6 +26,7 @@ MODULES = [
     "monitor_queries",
     "source_queries",
     "model_queries",
+    "importance_queries",
     "stream_queries",
 ]
 
