@@ -158,12 +158,12 @@ def whitened_svm(features: str, k: int) -> Pipeline:
 def experiment_grid(seasons: DataFrame) -> DataFrame:
     """All configurations: trailing season windows x model x half-life.
 
-    ``seasons`` has one row per season with its match count; the windows nest, so the training
-    rows of each come from one running sum.
+    ``seasons`` has one row per season with its first date (``first``) and its match count; the windows nest, so the
+    training rows of each come from one running sum. The latest first date is the current season, whatever the label.
     """
     from pyspark.sql import Window
 
-    ranked = seasons.withColumn("age", F.row_number().over(Window.orderBy(F.desc("season"))))
+    ranked = seasons.withColumn("age", F.row_number().over(Window.orderBy(F.desc("first"), F.desc("season"))))
     windows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("wanted")) for n, k in WINDOWS.items()])).alias("w")
     sized = ranked.select("season", "n", "age", windows).select("season", "n", "age", "w.*").filter("age <= wanted")
     per_window = sized.groupBy("name").agg(F.count("*").alias("seasons"), F.sum("n").alias("train_rows"))

@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from matchspark.operators import evaluate as E
+from matchspark.operators import experiments as X
 from matchspark.operators import labels as L
 from matchspark.operators import models as M
 from matchspark.operators import ratings as R
@@ -57,7 +58,19 @@ def parts(spark, folder):
     ),
 )
 def experiment_grid(spark, folder):
-    return M.experiment_grid(contests(spark, folder).groupBy("season").agg(F.count("*").alias("n")))
+    return M.experiment_grid(contests(spark, folder).groupBy("season").agg(F.count("*").alias("n"), F.min("match_date").alias("first")))
+
+
+@query("experiment_results")
+def experiment_results(spark, folder):
+    """Every configuration of the grid, fitted on all features and measured on the current season."""
+    matches, columns = contests(spark, folder), R.feature_columns()
+    seasons = X.in_order(matches)
+    rows = X.marked(M.as_double(feature_table(spark, folder), columns).drop("weight"), matches, seasons[-1])
+    path = fresh(spark, "experiment-rows")
+    rows.write.parquet(path)
+    found = X.run(spark.read.parquet(path), columns, X.configurations(seasons), fresh(spark, "experiments"), parallel=8)
+    return rounded(found)
 
 
 def _fit_table(spark, folder, families):
