@@ -25,26 +25,33 @@ from pyspark.sql import functions as F
 from matchspark.plans.prior import totals_before
 
 
+#: Settings of the model families.
+CLASSIFIERS = {
+    "logistic_regression": (LogisticRegression, {"maxIter": 120, "regParam": 0.08, "elasticNetParam": 0.0}),
+    "random_forest": (RandomForestClassifier, {"numTrees": 220, "maxDepth": 7, "minInstancesPerNode": 4, "seed": 42}),
+    "decision_tree": (DecisionTreeClassifier, {"maxDepth": 5, "minInstancesPerNode": 6, "seed": 42}),
+    "naive_bayes": (NaiveBayes, {"modelType": "gaussian"}),
+}
+REGRESSORS = {
+    "linear": (LinearRegression, {"maxIter": 100}),
+    "ridge": (LinearRegression, {"maxIter": 100, "elasticNetParam": 0.0, "standardization": False}),
+    "lasso": (LinearRegression, {"maxIter": 100, "regParam": 0.01, "elasticNetParam": 1.0, "standardization": False}),
+    "boosted_trees": (GBTRegressor, {"maxIter": 180, "stepSize": 0.045, "maxDepth": 5, "seed": 42}),
+    "random_forest": (RandomForestRegressor, {"numTrees": 320, "maxDepth": 8, "minInstancesPerNode": 8, "seed": 42}),
+}
+
+
 def classifier(family: str, **params):
     """Weighted classifier of a family; the weight column is ``weight``."""
-    made = {
-        "logistic_regression": lambda: LogisticRegression(maxIter=30, regParam=0.08, elasticNetParam=0.0, weightCol="weight"),
-        "random_forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=5, minInstancesPerNode=8, seed=42, weightCol="weight"),
-        "decision_tree": lambda: DecisionTreeClassifier(maxDepth=4, seed=42, weightCol="weight"),
-        "naive_bayes": lambda: NaiveBayes(modelType="gaussian", weightCol="weight"),
-    }[family]()
-    return made.setParams(**params) if params else made
-
-
-def regressor(family: str, rows: int):
-    """Ridge and lasso use lambda = alpha / n and alpha without standardisation."""
-    return {
-        "linear": lambda: LinearRegression(maxIter=30),
-        "ridge": lambda: LinearRegression(maxIter=30, regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False),
-        "lasso": lambda: LinearRegression(maxIter=30, regParam=0.01, elasticNetParam=1.0, standardization=False),
-        "boosted_trees": lambda: GBTRegressor(maxIter=5, maxDepth=3, seed=42),
-        "random_forest": lambda: RandomForestRegressor(numTrees=10, maxDepth=5, seed=42),
-    }[family]()
+    kind, settings = CLASSIFIERS[family]
+    return kind(weightCol="weight", **{**settings, **params})
+
+
+def regressor(family: str, rows: int, alpha: float = 1.0, **params):
+    """Ridge uses lambda = alpha / n, lasso alpha, both without standardisation of their own."""
+    kind, settings = REGRESSORS[family]
+    own = {"regParam": alpha / max(rows, 1)} if family == "ridge" else {}
+    return kind(**{**settings, **own, **params})
 
 
 def preparation(features: Sequence[str]) -> list:
@@ -57,9 +64,9 @@ def preparation(features: Sequence[str]) -> list:
     ]
 
 
-def class_pipeline(features: Sequence[str], family: str, label: str = "ftr") -> Pipeline:
+def class_pipeline(features: Sequence[str], family: str, label: str = "ftr", **params) -> Pipeline:
     index = StringIndexer(inputCol=label, outputCol="label", handleInvalid="error", stringOrderType="alphabetAsc")
-    return Pipeline(stages=[index, *preparation(features), classifier(family)])
+    return Pipeline(stages=[index, *preparation(features), classifier(family, **params)])
 
 
 def as_double(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -100,15 +107,17 @@ def coefficients(model, features: Sequence[str]) -> DataFrame:
     return SparkSession.getActiveSession().createDataFrame(values, "feature string, weight double")
 
 
-def recursive_elimination(train: DataFrame, features: Sequence[str], label: str, keep: int, step: int) -> list[str]:
-    """Drop the least important features of a forest until ``keep`` are left."""
+def recursive_elimination(train: DataFrame, features: Sequence[str], label: str, keep: int, step: int, **params) -> dict[str, float]:
+    """Drop the least important features of a forest until ``keep`` are left; these with their importance in the last fit."""
     left = list(features)
-    while len(left) > keep:
-        model = regression_pipeline(left, label, regressor("random_forest", 0)).fit(train)
-        order = sorted(range(len(left)), key=lambda i: model.stages[-1].featureImportances[i])
+    while True:
+        model = regression_pipeline(left, label, regressor("random_forest", 0, **params)).fit(train)
+        found = model.stages[-1].featureImportances.toArray().tolist()
+        if len(left) <= keep:
+            return dict(zip(left, found, strict=True))
+        order = sorted(range(len(left)), key=found.__getitem__)
         gone = {left[i] for i in order[: min(step, len(left) - keep)]}
         left = [f for f in left if f not in gone]
-    return left
 
 
 def shuffled(df: DataFrame, key: str, columns: Sequence[str], seed: int) -> DataFrame:

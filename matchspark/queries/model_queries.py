@@ -21,10 +21,9 @@ from matchspark.session import scratch_dir
 from matchspark.sources.fixtures import contests
 from matchspark.sources.tables import table
 
-FEATURES = [
-    "market_home_prob", "market_draw_prob", "market_away_prob", "elo_diff", "season_rank_diff", "recent_5_points_diff",
-    "recent_5_goal_diff_diff", "points_ppm_diff", "season_points_ppm_diff", "rest_days_diff",
-]
+FEATURES = R.feature_columns()
+TREES = {"numTrees": 20, "maxDepth": 5}
+"""Forests of the regression queries; the library's own settings take minutes on a laptop."""
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
@@ -41,7 +40,7 @@ def feature_table(spark, folder):
 
 def parts(spark, folder):
     df = feature_table(spark, folder)
-    return df.filter("season < '2000'"), df.filter("season >= '2000'")
+    return df.filter("match_date < DATE '2000-01-01'"), df.filter("match_date >= DATE '2000-01-01'")
 
 
 @query(
@@ -123,7 +122,8 @@ def fit_regressors(spark, folder):
     n = train.count()
     out = []
     for family in ("linear", "ridge", "lasso", "boosted_trees", "random_forest"):
-        model = M.regression_pipeline(FEATURES, "fthg", M.regressor(family, n)).fit(train)
+        small = {"boosted_trees": {"maxIter": 10, "maxDepth": 3}, "random_forest": TREES}.get(family, {})
+        model = M.regression_pipeline(FEATURES, "fthg", M.regressor(family, n, **small)).fit(train)
         rows = model.transform(test).select("fthg", "prediction")
         out.append(E.regression_metrics(rows, [], "fthg", "prediction").withColumn("model", F.lit(family)))
     train.unpersist()
@@ -143,30 +143,33 @@ def feature_select(spark, folder):
     l1 = M.LogisticRegression(maxIter=30, regParam=0.01, elasticNetParam=1.0, weightCol="weight")
     logistic = M.coefficients(M.regression_pipeline(FEATURES, "y", l1).fit(train).stages[-1], FEATURES)
     lasso = linear("lasso")
-    kept = M.recursive_elimination(train, FEATURES, "fthg", len(FEATURES) // 2, 3)
+    kept = M.recursive_elimination(train, FEATURES, "fthg", len(FEATURES) // 2, 12, **TREES)
+    eliminated = spark.createDataFrame(list(kept.items()), "feature string, weight double")
     train.unpersist()
     chosen = [
         lasso.filter(F.abs("weight") > 1e-5).withColumn("method", F.lit("lasso")),
         ridge.filter(F.abs("weight") > 0.1 * spread).withColumn("method", F.lit("ridge")),
         logistic.filter("weight <> 0").withColumn("method", F.lit("l1_logistic")),
-        ridge.filter(F.col("feature").isin(kept)).withColumn("method", F.lit("elimination")),
+        eliminated.withColumn("method", F.lit("elimination")),
     ]
     return rounded(reduce(lambda a, b: a.unionByName(b), chosen))
 
 
 @query("cv_metrics")
 def cv_metrics(spark, folder):
-    """Expanding time-series folds: fit on the blocks before, measure on the block."""
+    """Five expanding time-series folds: fit on the blocks before, measure on the block."""
     df = M.as_double(feature_table(spark, folder), ["fthg"])
-    folds = S.ts_folds(contests(spark, folder), 3).select("match_id", "fold")
-    joined = df.join(folds, "match_id").cache()
+    joined = df.join(S.ts_folds(contests(spark, folder), 5).select("match_id", "fold"), "match_id").cache()
     out = []
-    for k in (1, 2, 3):
+    for k in range(1, 6):
         model = M.regression_pipeline(FEATURES, "fthg", M.regressor("linear", 0)).fit(joined.filter(F.col("fold") < k))
         rows = model.transform(joined.filter(F.col("fold") == k)).select("fthg", "prediction")
         metrics = E.regression_metrics(rows, [], "fthg", "prediction").withColumn("r2", F.greatest("r2", F.lit(0.0)))
         out.append(metrics.withColumn("fold", F.lit(k)))
-    return rounded(reduce(lambda a, b: a.unionByName(b), out))
+    found = reduce(lambda a, b: a.unionByName(b), out)
+    rows = found.collect()  # a row for each fold
+    joined.unpersist()
+    return rounded(spark.createDataFrame(rows, found.schema))
 
 
 @query("tune")

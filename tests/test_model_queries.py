@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 FOLDER = "/root/testdata/sf0.001"
 FITS = [
     "fit_pipeline", "fit_nb", "batch_score", "model_roundtrip", "fit_regressors", "feature_select", "permutation_importance",
-    "cv_metrics", "tune",
+    "cv_metrics", "tune", "bootstrap_importance", "interaction_importance", "pca_project",
 ]
 
 
