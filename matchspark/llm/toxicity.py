@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import string
 from dataclasses import dataclass
 from functools import partial
@@ -35,6 +36,8 @@ CHANCE = 0.01
 PRIOR = 0.2
 PREFIXES = (4, 5, 6)
 UNIT = 1000
+MINIMA = 3
+_BLANKS = re.compile("[\x09-\x0d ]+")
 _OUTER = string.punctuation + "¡¿«»„“”‘’…–—"
 
 
@@ -125,14 +128,27 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
     return model
 
 
+def words_of(text: str) -> list[str]:
+    """Words between ASCII blanks, as the scoring cuts them."""
+    return [w for w in _BLANKS.split(text) if w]
+
+
+def signature(text: str) -> int:
+    """Joint hash of the minima of the text's pairs of neighbouring words."""
+    words = words_of(text.lower())
+    pairs = {" ".join(p) for p in zip(words, words[1:], strict=False)} or set(words)
+    least = [min((xxhash.xxh3_64_intdigest(p, seed) for p in pairs), default=0) for seed in range(MINIMA)]
+    return xxhash.xxh3_64_intdigest(" ".join(map(str, least))) >> 1
+
+
 def _weighted(texts: DataFrame, chosen: DataFrame) -> DataFrame:
     """Labelled rows with weights that let a group of near copies count about once: one by the rows with the same
-    smallest hash of two neighbouring words."""
+    ``MINIMA`` smallest hashes of two neighbouring words, each under a seed of its own. A single common pair of words does
+    not make texts alike; texts without two words weigh as those with the same words."""
 
     def run(batches):
         for batch in batches:
-            least = [min(map(xxhash.xxh3_64_intdigest, map(" ".join, zip(w, w[1:]))), default=0) >> 1
-                     for w in (t.lower().split() for t in batch.column("text").to_pylist())]
+            least = [signature(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(least, pa.int64())], ["doc_id", "toxic", "least"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
@@ -155,7 +171,7 @@ def _label_counts(batches):
         toxic, clean = {}, {}
         for text, label, weight in zip(*[batch.column(c).to_pylist() for c in ("text", "toxic", "weight")], strict=True):
             into = toxic if label else clean
-            words = set(text.split())
+            words = set(words_of(text))
             into[""] = into.get("", 0) + weight * len(words)
             for f in {f for w in words for f in features(w)}:
                 into[f] = into.get(f, 0) + weight

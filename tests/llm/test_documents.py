@@ -269,6 +269,25 @@ def test_op4_held_out(spark):
     assert sum(r.predicted for r in toxic) >= 0.5 * len(toxic)
 
 
+def test_unrelated_texts_weigh_one(spark):
+    """Texts that share a frequent pair of words are not copies; near copies together weigh little more than one."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(k, "of the " + " ".join(f"w{rng.randrange(300)}" for _ in range(80)) + " of the") for k in range(600)]
+    base = [f"b{k}" for k in range(200)]
+    rows += [(1000 + k, " ".join([*base, f"x{k}"])) for k in range(200)]
+    docs = common.texts(odd(spark, rows))
+    chosen = spark.createDataFrame([(i, 1) for i, _ in rows], "doc_id bigint, toxic int")
+    got = {r.doc_id: r.weight for r in toxicity._weighted(docs, chosen).collect()}
+    assert all(got[k] == 1 for k in range(600))
+    assert sum(got[1000 + k] for k in range(200)) < 12
+
+
+def test_words_end_at_ascii_blanks():
+    assert toxicity.words_of(" a\u00a0b\u3000c d\te\x1cf\n") == ["a\u00a0b\u3000c", "d", "e\x1cf"]
+
+
 def test_scores_of_odd_rows(spark):
     labels = spark.createDataFrame([(k, 0, k % 2) for k in range(200)] + [(None, 0, 1), (3, 0, None)], "doc_id bigint, quality int, toxic int")
     docs = odd(spark, [(k, f"{'vile' if k % 2 else 'kind'} w{k}x w{k}y here") for k in range(200)] + ODD)
