@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,6 +55,22 @@ def roc_auc(scored: DataFrame, keys: Sequence[str], label: str, score: str) -> D
     return ranked.groupBy(*keys).agg(F.when(pairs > 0, wins / pairs).alias("roc_auc"))
 
 
+def roc_auc_ovr(scored: DataFrame, keys: Sequence[str], label: str, chances: Mapping[str, Column]) -> DataFrame:
+    """One-vs-rest AUC of all classes, weighted by their share; NULL when a class is absent.
+
+    ``chances`` has the probability of each class. Rows become one for each class, so all classes are ranked in one pass.
+    """
+    keys = list(keys)
+    classes = F.explode(F.array(*[F.struct(F.lit(c).alias("_class"), p.alias("_p")) for c, p in chances.items()])).alias("c")
+    long = scored.select(*keys, F.col(label).alias("_label"), classes).select(
+        *keys, "c._class", "c._p", F.when(F.col("_label") == F.col("c._class"), 1).otherwise(0).alias("_y")
+    )
+    shares = long.groupBy(*keys, "_class").agg(F.avg("_y").alias("_share"))
+    each = roc_auc(long, [*keys, "_class"], "_y", "_p").join(shares, [*keys, "_class"])
+    all_there = F.count("roc_auc") == len(chances)
+    return each.groupBy(*keys).agg(F.when(all_there, F.sum(F.col("roc_auc") * F.col("_share")) / F.sum("_share")).alias("roc_auc_ovr"))
+
+
 THRESHOLDS = 91
 
 

@@ -51,14 +51,18 @@ def latency(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return mean.join(exact_quantiles(rows, keys, value, {"p95": 0.95, "p99": 0.99}), list(keys))
 
 
+def drift() -> Column:
+    """Shift of mean (bm against hm) and deviation (bs against hs) in deviations of the history."""
+    return F.expr(f"(abs(bm - hm) / (hs + {EPS}D) + abs(bs - hs) / (hs + {EPS}D)) / 2")
+
+
 def drift_score(rows: DataFrame, window: int, batch: int) -> DataFrame:
     """Shift of mean and deviation of the newest batch against a window that contains it."""
     hist = latest(rows, ["target"], window)
     new = latest(rows, ["target"], batch)
     h = hist.groupBy("target").agg(F.avg("predicted").alias("hm"), F.stddev_pop("predicted").alias("hs"))
     b = new.groupBy("target").agg(F.avg("predicted").alias("bm"), F.stddev_pop("predicted").alias("bs"))
-    score = F.expr(f"(abs(bm - hm) / (hs + {EPS}D) + abs(bs - hs) / (hs + {EPS}D)) / 2")
-    return h.join(b, "target").select("target", score.alias("drift_score"))
+    return h.join(b, "target").select("target", drift().alias("drift_score"))
 
 
 def ks_drift(rows: DataFrame, recent: int = 100) -> DataFrame:

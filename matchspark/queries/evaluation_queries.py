@@ -72,6 +72,18 @@ def roc_auc(spark, folder):
     return rounded(E.roc_auc(scored(spark, folder), ["league"], "y", "ph"))
 
 
+OVR_CTE = """rest AS (SELECT league, c, CASE WHEN actual = c THEN 1 ELSE 0 END AS y, CASE c WHEN 'H' THEN ph WHEN 'D' THEN pd ELSE pa END AS p
+  FROM sc, (VALUES ('H'), ('D'), ('A')) v(c)),
+ovr AS (SELECT league, c, avg(y) AS share, CASE WHEN sum(y) * sum(1 - y) > 0 THEN (sum(CASE WHEN y = 1 THEN rk END)
+  - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) END AS auc FROM (SELECT league, c, y,
+  rank() OVER w + (count(*) OVER (PARTITION BY league, c, p) - 1) / 2.0e0 AS rk FROM rest WINDOW w AS (PARTITION BY league, c ORDER BY p)) GROUP BY ALL)"""
+
+
+@query("roc_auc_ovr", sc_sql(f"SELECT league, CASE WHEN count(auc) = 3 THEN {r('sum(auc * share) / sum(share)')} END AS roc_auc_ovr FROM ovr GROUP BY league", OVR_CTE))
+def roc_auc_ovr(spark, folder):
+    return rounded(E.roc_auc_ovr(scored(spark, folder), ["league"], "actual", {c: F.col(f"p{c.lower()}") for c in "HDA"}))
+
+
 SWEEP_CTE = """sw0 AS (SELECT league, i, sum(y) AS ap, sum(1 - y) AS an, sum(CASE WHEN ph >= 0.05e0 + i * 0.01e0 THEN y ELSE 0 END) AS tp,
   sum(CASE WHEN ph >= 0.05e0 + i * 0.01e0 THEN 1 - y ELSE 0 END) AS fp FROM sc, range(91) t(i) GROUP BY league, i),
 sw1 AS (SELECT league, i, (tp / ap + (an - fp) / an) / 2 AS balanced,

@@ -103,6 +103,34 @@ def stream_monitor(spark, folder):
     return rounded(regression_metrics(kept, ["target"], "actual", "predicted"), 4)
 
 
+BATCHES = """landed AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN 0 ELSE 1 END AS batch FROM ev),
+held AS (SELECT * FROM (SELECT k, landed.*, row_number() OVER (PARTITION BY k, target ORDER BY event_id DESC) AS rn
+  FROM landed, range(2) t(k) WHERE batch <= k) WHERE rn <= 200),
+hist AS (SELECT k, target, count(*) AS n, avg((actual - predicted) ** 2) AS mse, avg(abs(actual - predicted)) AS mae,
+  var_pop(actual) AS vy, avg(predicted) AS hm, stddev_pop(predicted) AS hs, max(ts) AS seen FROM held GROUP BY ALL),
+own AS (SELECT batch AS k, target, count(*) AS batch_rows, avg(predicted) AS bm, stddev_pop(predicted) AS bs FROM landed GROUP BY ALL),
+late AS (SELECT batch AS k, l.target, count(*) AS late_rows FROM landed l JOIN hist h ON h.k = l.batch - 1 AND h.target = l.target
+  WHERE l.ts < h.seen - INTERVAL 1 HOUR GROUP BY ALL)"""
+
+
+@query(
+    "stream_batch_metrics",
+    ev_sql(
+        f"""SELECT CAST(k AS INT) AS batch, target, batch_rows, coalesce(late_rows, 0) AS late_rows, n, {r('mse', 4)} AS mse,
+        {r('sqrt(mse)', 4)} AS rmse, {r('mae', 4)} AS mae, {r('1 - mse / vy', 4)} AS r2,
+        {r('(abs(bm - hm) / (hs + 1e-6) + abs(bs - hs) / (hs + 1e-6)) / 2', 4)} AS drift_score
+        FROM own JOIN hist USING (k, target) LEFT JOIN late USING (k, target)""",
+        BATCHES,
+    ),
+)
+def stream_batch_metrics(spark, folder):
+    """Metrics, drift and late rows of each batch of predictions."""
+    root, df = fresh(spark, "batches"), events(spark, folder)
+    for _ in _land(spark, df, root + "/in", "user_id % 3 = 0", "user_id % 3 > 0"):
+        J.monitor_stream(spark, root + "/in", df.schema, root + "/cp", root + "/state", 200, root + "/metrics")
+    return rounded(spark.read.schema(J.BATCH).parquet(root + "/metrics"), 4)
+
+
 @query(
     "stream_elo",
     tv_sql("SELECT match_id, round(home_elo + 1e-9, 4) AS home_elo, round(away_elo + 1e-9, 4) AS away_elo FROM elo", ELO_CTE),

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from matchspark.functions.elo import rate_with_state
-from matchspark.operators.monitor import latest
+from matchspark.operators.evaluate import regression_metrics
+from matchspark.operators.monitor import drift, latest
 
 
 def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None] | None = None,
@@ -63,8 +64,30 @@ def previous_state(spark: SparkSession, root: str, batch_id: int, schema: Struct
     return spark.read.schema(schema).parquet(state_version(root, batch_id - 1))
 
 
-def monitor_stream(spark: SparkSession, source: str, schema: StructType, checkpoint: str, state: str, window: int) -> None:
-    """Keep the newest ``window`` pairs of each target."""
+BATCH = """target string, batch_rows bigint, late_rows bigint, n bigint, mse double, rmse double, mae double, r2 double,
+drift_score double, batch int"""
+
+
+def batch_metrics(rows: DataFrame, before: DataFrame, now: DataFrame, late: str) -> DataFrame:
+    """A row for each target of a batch: errors over the newest pairs, drift of the batch against them, late rows.
+
+    A row is late if it is older by ``late`` than the newest pair of its target before the batch; it still counts.
+    """
+    own = rows.groupBy("target").agg(F.count("*").alias("batch_rows"), F.avg("predicted").alias("bm"), F.stddev_pop("predicted").alias("bs"))
+    seen = before.groupBy("target").agg(F.max("ts").alias("seen"))
+    behind = rows.join(seen, "target").filter(F.col("ts") < F.col("seen") - F.expr(f"INTERVAL {late}"))
+    window = now.groupBy("target").agg(F.avg("predicted").alias("hm"), F.stddev_pop("predicted").alias("hs"))
+    joined = own.join(behind.groupBy("target").agg(F.count("*").alias("late_rows")), "target", "left").join(window, "target")
+    return joined.join(regression_metrics(now, ["target"], "actual", "predicted"), "target").select(
+        "target", "batch_rows", F.coalesce("late_rows", F.lit(0)).alias("late_rows"), "n", "mse", "rmse", "mae", "r2", drift().alias("drift_score")
+    )
+
+
+def monitor_stream(
+    spark: SparkSession, source: str, schema: StructType, checkpoint: str, state: str, window: int, metrics: str | None = None,
+    late: str = "1 HOUR",
+) -> None:
+    """Keep the newest ``window`` pairs of each target; with a folder for them, the metrics of each batch too."""
     kept = ["event_id", "ts", "target", "predicted", "actual"]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -72,6 +95,9 @@ def monitor_stream(spark: SparkSession, source: str, schema: StructType, checkpo
         old = previous_state(batch.sparkSession, state, batch_id, rows.schema)
         newest = latest(latest(rows, ["target"], window).unionByName(old), ["target"], window)
         newest.write.mode("overwrite").parquet(state_version(state, batch_id))
+        if metrics is not None:
+            now = batch.sparkSession.read.schema(rows.schema).parquet(state_version(state, batch_id))
+            batch_metrics(rows, old, now, late).write.mode("overwrite").parquet(f"{metrics}/batch={batch_id}")
 
     run_available(read_stream(spark, source, schema), checkpoint, handle)
 

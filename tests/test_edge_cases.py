@@ -6,6 +6,7 @@ import pytest
 from fixtures_small import SCHEMA, random_rows
 from pyspark.sql import functions as F
 
+from matchspark.operators import evaluate as V
 from matchspark.operators import exceptions as E
 from matchspark.operators import monitor as M
 from matchspark.operators import ratings as R
@@ -71,3 +72,19 @@ def test_blanks_around_team_names(spark, operator):
     assert len(want) == 400
     assert sorted(map(str, operator(files.trimmed(raw)).collect())) == want
     assert operator(raw).count() == 400
+
+
+def test_one_vs_rest_auc(spark):
+    """Equals the definition over pairs, with ties; NULL where a class is absent."""
+    import random
+
+    rng = random.Random(3)
+    rows = [("k", rng.choice("ABBC"), *[rng.randrange(6) / 5 for _ in "ABC"]) for _ in range(60)] + [("two", c, 0.1, 0.2, 0.7) for c in "AABB"]
+    df = spark.createDataFrame(rows, "k string, y string, a double, b double, c double")
+    got = {r.k: r.roc_auc_ovr for r in V.roc_auc_ovr(df, ["k"], "y", {c: F.col(c.lower()) for c in "ABC"}).collect()}
+    mine, want = [r for r in rows if r[0] == "k"], 0.0
+    for n, c in enumerate("ABC"):
+        yes, no = [r[2 + n] for r in mine if r[1] == c], [r[2 + n] for r in mine if r[1] != c]
+        wins = sum((a > b) + (a == b) / 2 for a in yes for b in no)
+        want += wins / (len(yes) * len(no)) * len(yes) / len(mine)
+    assert got["k"] == pytest.approx(want, abs=1e-12) and got["two"] is None
