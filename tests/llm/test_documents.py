@@ -37,6 +37,38 @@ def test_odd_pages(spark):
     assert all(r.refers_to in r.header for r in rows)
 
 
+def test_character_references(spark):
+    """Equal to the library's decoding of references that end in a semicolon; nothing is decoded twice."""
+    import html
+
+    texts = [
+        "a &copy; b &middot;&amp;lt; &#233;&#xE9;&#X1F600; &nosuch; &notit; &amp &#; &#x; &;", "&#0;&#xD800;&#1114112;&#99999999999;&#128;&#150;&#x9f;&#00065;",
+        "&NotEqualTilde;&AMP;&hearts;&Aacute;&apos;&quot;&lt;&gt;", "", "&", "no reference", "&amp;" * 3000,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: r.d for r in df.select("k", warc.decoded(F.col("t")).alias("d")).collect()}
+    want = [re.sub("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]+);", lambda m: m[0] if m[0] == "&notit;" else html.unescape(m[0]), t) for t in texts]
+    assert [got[k] for k in range(len(texts))] == want
+
+
+def test_no_page_keeps_a_reference(spark):
+    rows = warc.derive(warc.responses(common.table(spark, FOLDER, "pages"))).filter("record_type = 'conversion'")
+    assert rows.filter(F.col("block").rlike("&(copy|middot|quot|nbsp|#[0-9]+);")).count() == 0
+    assert rows.filter(F.contains("block", F.lit("\u00a9"))).count() > 0
+
+
+def test_source_headers_are_carried(spark):
+    kind = "page_id bigint, url string, html string, fetched string, head string, record_id int, payload int"
+    pages = spark.createDataFrame([(None, "u", "<p>x", "2020-02-02T00:00:00Z", "HTTP/1.1 404 Not Found\r\nContent-Type: text/plain\r\n\r\n", 1, 1), (1, None, "y" * 200000, None, None, 1, 1)], kind)
+    source = warc.responses(pages, "fetched", "head")
+    rows = {(r.page_id, r.record_type): r for r in warc.derive(source).collect()}
+    meta = rows[None, "metadata"]
+    assert "source-status: 404\r\nsource-content-type: text/plain\r\n" in meta.block and "WARC-Date: 2020-02-02T00:00:00Z" in meta.header
+    assert "source-status: 200\r\n" in rows[1, "metadata"].block and len(rows[1, "conversion"].block) == 200000
+    first = source.filter("page_id IS NULL").first()
+    assert first.block.startswith("HTTP/1.1 404") and f"WARC-Payload-Digest: {first.payload_digest}" in first.header and meta.refers_to == first.record_id
+
+
 # secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
