@@ -45,6 +45,7 @@ def incremental_refresh(spark: SparkSession, source: str, schema: StructType, ch
         rows = batch.select("*", day).dropDuplicates(["event_id"])
         if batch_id > 0:
             landed = batch.sparkSession.read.schema(LANDED).parquet(sink).filter(F.col("batch") < batch_id)
+            landed = landed.join(F.broadcast(rows.select("day").distinct()), "day", "left_semi")  # prunes the folders of other days
             rows = rows.join(landed.select("day", "event_id"), ["day", "event_id"], "left_anti")
         rows.write.mode("overwrite").partitionBy("day").parquet(f"{sink}/batch={batch_id}")
 
