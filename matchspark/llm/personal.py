@@ -32,8 +32,8 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9_])",
+    "ssn": r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])",
 }
 #: A text without this has no span of the kind.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
@@ -172,3 +172,47 @@ def digests(found: DataFrame) -> DataFrame:
         "doc_id", *[count(k) for k in BASE], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"),
         *[count(k) for k in ADDED], scores.alias("scores"),
     )
+
+
+#: The same patterns without what SQL's expressions lack; a word boundary is that of ASCII there.
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+}
+
+
+def report_sql() -> str:
+    """The same report in DuckDB SQL: starts from the pieces between matches, checksums by folds over digits."""
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    twice = f"CAST(substr({digits}, -j, 1) AS INT) * (2 - j % 2)"
+    luhn_sum = f"list_sum(list_transform(range(1, len({digits}) + 1), lambda j: {twice} - 9 * CAST({twice} > 9 AS INT)))"
+    plain = "replace(v, ' ', '')"
+    code = f"list_transform(string_split(substr({plain}, 5) || substr({plain}, 1, 4), ''), lambda c: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1)"
+    left = f"list_reduce(list_prepend(0, {code}), lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97)"
+    big = "list_filter(string_split(v, '.'), lambda p: len(ltrim(p, '0')) > 3 OR (len(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))"
+    valid = {
+        "email": "TRUE", "ip": f"len({big}) = 0", "card": f"len({digits}) BETWEEN 14 AND 19 AND {luhn_sum} % 10 = 0",
+        "phone": f"len({digits}) BETWEEN 10 AND 15", "iban": f"len({plain}) BETWEEN 15 AND 34 AND {left} = 1",
+        "ssn": "v[:3] NOT IN ('000', '666') AND v[:3] < '900' AND v[5:6] <> '00' AND v[8:11] <> '0000'",
+    }
+    found = []
+    for order, kind in enumerate(KINDS):
+        rx = "'" + PLAIN[kind] + "'"
+        words = f"regexp_matches(right(g[i], {BEFORE}) || chr(10) || left(g[i + 1], {AFTER}), '(?i)(?:^|[^A-Za-z])(?:{CONTEXT[kind]})(?:$|[^A-Za-z])')"
+        sized = "list_sum(list_transform(g[:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: len(x))), 0)"
+        found.append(f"""SELECT rid, {order} AS ord, '{kind}' AS kind, v, CAST({sized} AS BIGINT) AS start,
+          {WORTH[kind]} + CASE WHEN {words} THEN {BONUS} ELSE 0.0 END AS score FROM (SELECT rid, m, g, i, m[i] AS v FROM (
+          SELECT rid, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, regexp_extract_all(t, {rx}) AS m, string_split_regex(t, {rx}) AS g FROM d))) WHERE {valid[kind]}""")
+    base, kept = len(BASE), f"ord < {len(BASE)} OR score >= {ENOUGH}"
+    span, by = "kind || ':' || start || ':' || (start + len(v))", "',' ORDER BY start, ord"
+    counts = {k: f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in KINDS}
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT * FROM ({' UNION ALL '.join(found)}) WHERE {kept}),
+a AS (SELECT rid, {', '.join(counts.values())}, string_agg({span}, {by}) FILTER (WHERE ord < {base}) AS base, string_agg({span}, {by}) AS spans,
+  string_agg(printf('%.2f', CAST(score AS DOUBLE)), {by}) AS scores FROM s GROUP BY rid)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in KINDS)}, sha256(coalesce(base, '')) AS base_sha256,
+ coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN a USING (rid)"""

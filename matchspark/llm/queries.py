@@ -95,7 +95,7 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return attribution.section_tokens(common.table(spark, folder, "documents"), common.vocabulary("byte_bpe_50k.json"))
 
 
-@query("op11_pii")
+@query("op11_pii", personal.report_sql())
 def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data of every document."""
     return personal.digests(personal.find(common.table(spark, folder, "documents")))

@@ -76,6 +76,19 @@ def test_checksums_and_context_decide(spark):
     assert (got[7].scores, got[8].scores) == ("0.90", "0.60")
 
 
+def test_personal_data_in_sql(spark):
+    """The SQL twin on texts that the tables don't hold."""
+    import duckdb
+    from oracle import differences
+
+    more = ["pay to IBAN DE89 3704 0044 0532 0130 00 now", "GB82WEST12345698765432 GB82 WEST 1234 5698 7654 32 and", "SSN 219-09-9999 x219-09-9998 219-09-9999_", ""]
+    rows = list(enumerate(PERSONAL + more)) + [(None, "a@b.de"), (3, None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert differences(spark, con, "", lambda *_: personal.digests(personal.find(odd(spark, rows))), queries.SQL["op11_pii"]) == []
+
+
 def test_op11_pii(spark):
     got = {r.doc_id: r for r in queries.QUERIES["op11_pii"](spark, FOLDER).collect()}
     docs = common.table(spark, FOLDER, "documents").collect()
