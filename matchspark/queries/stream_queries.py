@@ -13,6 +13,7 @@ from matchspark.queries.sql_parts import r, tv_sql
 from matchspark.sources.fixtures import contests
 from matchspark.sources.tables import events
 from matchspark.streaming import alerts as A
+from matchspark.streaming import held as H
 from matchspark.streaming import jobs as J
 
 RATE_CTE = """rate AS (SELECT w AS window_start, w + INTERVAL 5 MINUTE AS window_end, count(*) AS failures FROM (
@@ -76,6 +77,100 @@ def stream_rate_alert(spark, folder):
     return out.select(F.col("window_start").cast("timestamp_ntz"), F.col("window_end").cast("timestamp_ntz"), "failures")
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _with_timers(spark, run):
+    """Run with the state store that has timers, then set the session back."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        return run()
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+def _sent(spark, folder, name, rule, schema):
+    """Rows that a rule sends while the events land one half after the other."""
+    root, df = fresh(spark, name), events(spark, folder)
+    middle = "ts < timestamp_ntz'2024-01-16'"
+    for _ in _land(spark, df, root + "/in", middle, f"NOT {middle}"):
+        J.run_available(rule(J.read_stream(spark, root + "/in", df.schema)), root + "/cp", sink=root + "/out")
+    out = spark.read.schema(schema).parquet(root + "/out")
+    return out.select(*[F.col(c).cast("timestamp_ntz") if t == "timestamp" else c for c, t in out.dtypes])
+
+
+REACHED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM ev)"
+
+
+@query(
+    "stream_error_ratio",
+    ev_sql(f"""SELECT window_start, window_end, n, errors, {r('errors / n')} AS ratio FROM (SELECT date_trunc('hour', ts) AS window_start,
+    date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, count(*) AS n, count(*) FILTER (WHERE target = 'error') AS errors
+    FROM ev GROUP BY ALL) WHERE errors / n > 0.01 AND window_end <= {REACHED}"""),
+)
+def stream_error_ratio(spark, folder):
+    """Error ratio of each hour that the watermark has closed."""
+    schema = "window_start timestamp, window_end timestamp, n bigint, errors bigint, ratio double"
+    return rounded(_sent(spark, folder, "ratio", lambda s: A.error_ratio(s, 0.01), schema))
+
+
+@query(
+    "stream_p95_alert",
+    ev_sql(f"""SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, {r('p95')} AS p95 FROM (
+    SELECT w AS window_start, 2 * pow(1.01E0 / 0.99E0, ceil(ln(quantile_disc(predicted, 0.95)) / ln(1.01E0 / 0.99E0))) / (1.01E0 / 0.99E0 + 1) AS p95
+    FROM (SELECT time_bucket(INTERVAL 10 MINUTE, ts) - i * INTERVAL 10 MINUTE AS w, predicted FROM ev, range(6) t(i)) GROUP BY w)
+    WHERE p95 > 60 AND window_end <= {REACHED}"""),
+)
+def stream_p95_alert(spark, folder):
+    """p95 of each window that the watermark has closed: the bucket of the exact value."""
+    schema = "window_start timestamp, window_end timestamp, p95 double"
+    return rounded(_sent(spark, folder, "p95", lambda s: A.p95_sketch(s, 60.0), schema))
+
+
+def _held_sql(steps: str, minutes: int, hold: int) -> str:
+    """Islands of met steps up to the time reached, told as the rows that a stream sends."""
+    step = f"INTERVAL {minutes} MINUTE"
+    return ev_sql(
+        f"""SELECT target, 'firing' AS state, since, since + {hold} * {step} AS at, CAST({hold} AS BIGINT) AS steps FROM runs
+        UNION ALL SELECT target, 'resolved', since, since + n * {step}, n FROM runs WHERE since + (n + 1) * {step} <= {REACHED}""",
+        f"steps AS ({steps})",
+        f"""runs AS (SELECT target, min(s) AS since, count(*) AS n FROM (SELECT target, s, epoch(s) - row_number() OVER (
+        PARTITION BY target ORDER BY s) * {minutes * 60} AS run FROM steps WHERE met AND s + {step} <= {REACHED}) GROUP BY target, run
+        HAVING count(*) >= {hold})""",
+    )
+
+
+ACCURACY = "SELECT target, time_bucket(INTERVAL 30 MINUTE, ts) AS s, avg(CASE WHEN abs(predicted - actual) <= 40 THEN 1E0 ELSE 0E0 END) < 0.7 AS met"
+
+
+@query(
+    "stream_accuracy_drop",
+    _held_sql(f"{ACCURACY} FROM ev WHERE predicted IS NOT NULL AND actual IS NOT NULL GROUP BY ALL", 30, 2),
+)
+def stream_accuracy_drop(spark, folder):
+    """Accuracy below 0.7 that has held for an hour, and its end."""
+    rule = lambda s: H.held_stream(H.accuracy_steps(s, 40.0, 0.7, "30 minutes"), 2, 1800)
+    return _with_timers(spark, lambda: _sent(spark, folder, "accuracy", rule, H.EVENT))
+
+
+@query(
+    "stream_drift_held",
+    _held_sql(
+        """SELECT target, date_trunc('hour', ts) AS s, (abs(avg(predicted) - max(hm)) + abs(stddev_pop(predicted) - max(hs)))
+        / (max(hs) + 1e-6) / 2 > 0.3 AS met FROM ev JOIN (SELECT target, avg(predicted) AS hm, stddev_pop(predicted) AS hs FROM ev GROUP BY ALL)
+        USING (target) WHERE predicted IS NOT NULL GROUP BY ALL""",
+        60, 2,
+    ),
+)
+def stream_drift_held(spark, folder):
+    """Drift beyond 0.3 of the target's history that has held for two hours, and its end."""
+    history = events(spark, folder).groupBy("target").agg(F.avg("predicted").alias("hm"), F.stddev_pop("predicted").alias("hs"))
+    rule = lambda s: H.held_stream(H.drift_steps(s, history, 0.3, "1 hour"), 2, 3600)
+    return _with_timers(spark, lambda: _sent(spark, folder, "drift", rule, H.EVENT))
+
+
 @query("incremental_refresh", ev_sql("SELECT event_id, target, predicted FROM ev"))
 def incremental_refresh(spark, folder):
     root, df = fresh(spark, "refresh"), events(spark, folder)

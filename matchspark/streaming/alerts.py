@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,35 @@ def p95_alert(df: DataFrame, limit: float, length: str = "1 hour", slide: str =
     return _flat(spans.filter(F.col("p95") > limit), "p95")
 
 
+SMALLEST = 1e-6
+"""Values up to this one share the lowest bucket of a sketch and count as zero."""
+
+
+def p95_sketch(
+    df: DataFrame, limit: float, length: str = "1 hour", slide: str = "10 minutes", late: str | None = "1 hour",
+    error: float = 0.01,
+) -> DataFrame:
+    """``p95_alert`` from a histogram that merges: buckets grow by (1 + error) / (1 - error), so p95 is within ``error`` of itself.
+
+    The state of a window is a count a bucket (1,732 buckets span 1e-6 to 1e9 at one hundredth), combined before the shuffle;
+    a second aggregate over the closed windows walks the counts. NULLs do not count.
+    """
+    base = (1 + error) / (1 - error)
+    bucket = F.when(F.col("predicted") > SMALLEST, F.ceil(F.log("predicted") / F.lit(math.log(base))))
+    counts = _span(df.withColumn("bucket", bucket), length, slide, late).groupBy("w", "bucket").agg(F.count("predicted").alias("n"))
+    lists = counts.groupBy("w").agg(
+        F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("counts")
+    )
+    rank = F.ceil(F.col("total") * 0.95)
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("bigint").alias("bucket"))
+    walked = F.aggregate(
+        "counts", start,
+        lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["seen"] < rank, x["bucket"]).otherwise(a["bucket"]).alias("bucket")),
+    )
+    middle = F.coalesce(2 * F.pow(F.lit(base), walked["bucket"]) / (base + 1), F.lit(0.0))
+    return _flat(lists.withColumn("p95", middle).filter((F.col("total") > 0) & (F.col("p95") > limit)), "p95")
+
+
 def error_ratio(df: DataFrame, limit: float, length: str = "1 hour", slide: str = "1 hour", late: str | None = "1 hour") -> DataFrame:
     """Windows whose share of errors is above the limit."""
     spans = _span(df, length, slide, late).groupBy("w").agg(
