@@ -6,7 +6,6 @@ name says so). Rows of a team are cut by match date, see :mod:`matchspark.plans.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from matchspark.operators.team_view import by_match, points, team_view
 from matchspark.plans.prior import (
+    decayed_before,
     CELL,
     array_avg,
     last_n,
@@ -330,17 +330,10 @@ def weighted_form(matches: DataFrame, literal: bool = False) -> DataFrame:
 def ewm_form(matches: DataFrame, span: int = 5) -> DataFrame:
     """Shifted exponentially weighted mean of points, alpha = 2/(span+1), first value as start.
 
-    A value n matches back carries the factor (1-a)^n. The look-back follows the span and reaches to where
-    that factor is below 1e-17, so it gives the same number as the whole history.
+    Equal to the recursion over the whole history of the side at every span; matches without points are passed over.
     """
-    alpha = 2.0 / (span + 1)
-    depth = max(1, math.ceil(math.log(1e-17) / math.log(1 - alpha))) + 1 if alpha < 1 else 1
-    looked = rows_before(sides(matches, GOALS), TEAM, [CELL], ORDER_KEY, depth, F.col("points"))
-    prior = F.col("prior")
-    start = F.get(prior, F.lit(0)).cast("double")
-    rest = F.slice(prior, 2, F.greatest(F.size(prior) - 1, F.lit(0)))
-    value = F.aggregate(rest, start, lambda y, x: y * (1 - alpha) + x.cast("double") * alpha)
-    return looked.select("match_id", "team", value.alias("ewm_points"))
+    looked = decayed_before(sides(matches, GOALS), TEAM, [CELL], ORDER_KEY, F.col("points"), 2.0 / (span + 1), "ewm_points")
+    return looked.select("match_id", "team", "ewm_points")
 
 
 def tackle_rate(matches: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ anyway, so only the short side moves.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -134,6 +135,45 @@ def sums_of_last(
     return joined.select(*df.columns, *added)
 
 
+def decayed_before(
+    df: DataFrame, keys: Sequence[str], cell: Sequence[str], order: Sequence[str], value: Column, alpha: float, name: str
+) -> DataFrame:
+    """Add the mean y <- y + alpha * (value - y) over all earlier rows of the key, started with its first value.
+
+    A row is the map y -> A * y + B with A = 1 - alpha, and so is a run of rows. Rows are numbered by ``totals_before``
+    and cut into blocks of which each shrinks what came before by e**-40. Maps compose by a running sum inside a block;
+    what enters a block is the sum of the one before it and, shrunk, of the one before that; all older ones are
+    below e**-80 of a value. A block is a bounded number of rows (20 * (span + 1), about), so a hot key is spread over its blocks,
+    and no list is built. Rows whose value is NULL leave the mean as it is; it is NULL before the first value.
+    """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha lies above 0 and is 1 at most")
+    keep = 1 - alpha
+    size = 1 if keep == 0 else max(1, math.ceil(-40 / math.log(keep)))
+
+    def power(n: Column) -> Column:
+        return F.pow(F.lit(keep), n)
+
+    counted = totals_before(
+        df.withColumn("_x", value.cast("double")), keys, cell, order, {"_k": F.when(F.col("_x").isNotNull(), 1).otherwise(0).cast("bigint")}
+    )
+    place = F.col("_k") % size
+    share = F.when(F.col("_k") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+    placed = counted.withColumn("_block", F.floor(F.col("_k") / size)).withColumn(
+        "_term", F.coalesce(share * F.col("_x") / power(place) if keep else share * F.col("_x"), F.lit(0.0))
+    )
+    whole = placed.groupBy(*keys, "_block").agg((F.sum("_term") * (keep ** (size - 1))).alias("_sum"))
+    after = [whole.select(*keys, (F.col("_block") + i).alias("_block"), (F.col("_sum") * keep ** (size * (i - 1))).alias("_sum")) for i in (1, 2)]
+    carried = after[0].unionByName(after[1]).groupBy(*keys, "_block").agg(F.sum("_sum").alias("_carry"))
+    in_block = Window.partitionBy(*keys, "_block").orderBy(*cell, *order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.withColumn("_near", F.coalesce(F.sum("_term").over(in_block), F.lit(0.0)))
+    near = F.when(place > 0, F.col("_near") * power(place - 1)).otherwise(0.0)
+    mean = near + power(place) * F.coalesce("_carry", F.lit(0.0))
+    return rows.join(carried.hint("merge"), [*keys, "_block"], "left").select(
+        *df.columns, F.when(F.col("_k") > 0, mean).alias(name)
+    )
+
+
 def totals_before_cell(
     df: DataFrame, keys: Sequence[str], cell: Sequence[str], totals: Mapping[str, Column]
 ) -> DataFrame:

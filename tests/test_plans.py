@@ -40,7 +40,7 @@ def test_season_labels_do_not_order_time(spark):
     assert got[1].home_matches_played == 0 and got[2].home_matches_played == 1
 
 
-@pytest.mark.parametrize("span", [5, 20, 100])
+@pytest.mark.parametrize("span", [1, 5, 20, 100, 400])
 def test_weighted_mean_reaches_back_as_far_as_its_span(spark, span):
     rows = random_rows()
     order = sorted(rows, key=lambda r: (r[3], r[4], r[5], r[0]))
@@ -57,6 +57,26 @@ def test_weighted_mean_reaches_back_as_far_as_its_span(spark, span):
         assert expected is None or abs(r.ewm_points - expected) < 1e-9
 
 
+@pytest.mark.parametrize("alpha", [0.05, 0.5, 1.0])
+def test_decayed_mean_of_long_keys_with_gaps(spark, alpha):
+    """One key of 900 rows (many blocks), one that has only NULLs, values of both signs, no arrays in the plan."""
+    rng = random.Random(2)
+    rows = [("a", i // 7, i, None if rng.random() < 0.2 else rng.gauss(0, 100)) for i in range(900)]
+    rows += [("b", 0, i, None) for i in range(3)] + [("c", 0, 0, 5.0)]
+    df = spark.createDataFrame(rows, "k string, c int, o int, v double")
+    got = prior.decayed_before(df, ["k"], ["c"], ["o"], F.col("v"), alpha, "y")
+    state = {}
+    found = {(r.k, r.o): r.y for r in got.collect()}
+    assert len(found) == len(rows)
+    for k, _, o, v in rows:
+        assert (found[k, o] is None) == (k not in state)
+        assert k not in state or abs(found[k, o] - state[k]) < 1e-9
+        if v is not None:
+            state[k] = state[k] * (1 - alpha) + v * alpha if k in state else v
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert prior.decayed_before(df.limit(0), ["k"], ["c"], ["o"], F.col("v"), alpha, "y").count() == 0
+
+
 @pytest.mark.parametrize("grain", ["day", "pairing"])
 def test_totals_and_window_sums_at_every_grain(spark, grain):
     rows = random_rows()
