@@ -7,6 +7,11 @@ at once, and the arrays are compacted. Words without a known pair leave; rounds
 Merging equal pairs at once equals taking them one after the other from the left as long as no pair
 that a merge creates has a rank as small as the current one. Where one has, only the leftmost pair of
 that word is merged in that round, so the result is exact for every vocabulary.
+
+A word takes a round for each distinct rank in it, so a very long one is cut first: a merge across two neighbouring
+symbols needs a rule whose left part ends in the one and whose right part begins with the other. Where the vocabulary has
+no such rule, what lies on both sides is merged by itself, all stretches in the same rounds. What is still long after some
+rounds is cut again between the symbols of that moment, which reach less far than single characters.
 """
 
 from __future__ import annotations
@@ -14,18 +19,27 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import cached_property
 
 import numpy as np
 
 NO_PAIR = np.int64(1) << 62
 CODE_POINTS = 0x110000
+LONG = 64  # words of more symbols are cut where no rule joins two neighbours; results are the same at every value
 
 
 class PairTable:
     """Open hash table from (left symbol, right symbol) to (rank, merged symbol), probed by whole arrays."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, merged: np.ndarray):
+    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, merged: np.ndarray, joints: np.ndarray,
+                 rules: Callable[[], Iterable[tuple[list[int], list[int]]]]):
+        """``joints``: for each rule the last first-round symbol of its left part and the first one of its right part.
+
+        ``rules``: for each rule all symbols that its left part may end in, and all that its right part may begin with.
+        """
+        self.joints = np.unique((joints[:, 0].astype(np.int64) << 32) | joints[:, 1].astype(np.int64))
+        self._rules = rules
         self.bits = max(4, int(np.ceil(np.log2(4 * len(left) + 4))))
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.slot = np.zeros(1 << self.bits, np.int64)
@@ -41,6 +55,11 @@ class PairTable:
             self.keys[at[put]], self.slot[at[put]] = key[todo[put]], todo[put]
             todo, at = todo[~put], (at[~put] + 1) & ((1 << self.bits) - 1)
 
+    @cached_property
+    def later_joints(self) -> np.ndarray:
+        """Neighbours of any round that a rule may reach across; built when a word needs them."""
+        return np.unique(np.fromiter(((a << 32) | b for tails, heads in self._rules() for a in tails for b in heads), np.int64))
+
     def _home(self, key: np.ndarray) -> np.ndarray:
         mixed = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(64 - self.bits - 3) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
@@ -61,11 +80,52 @@ class PairTable:
         return out
 
 
-def merge_rounds(symbols: np.ndarray, sizes: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
-    """Merged symbols of all words, one after another, and how many each word has; words have a symbol at least."""
+def _ends(text: str, symbol: dict[str, int]) -> list[int]:
+    return [symbol[text[i:]] for i in range(len(text)) if text[i:] in symbol]
+
+
+def _begins(text: str, symbol: dict[str, int]) -> list[int]:
+    return [symbol[text[:i]] for i in range(1, len(text) + 1) if text[:i] in symbol]
+
+
+def _stretches(symbols: np.ndarray, sizes: np.ndarray, joints: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the parts that merge by themselves, and the word of each part."""
+    if not len(sizes) or sizes.max() <= LONG:
+        return sizes, np.arange(len(sizes))
+    ends = np.cumsum(sizes)
+    first = np.zeros(len(symbols), bool)
+    first[ends - sizes] = True
+    inside = np.flatnonzero(np.repeat(sizes > LONG, sizes) & ~first)
+    key = (symbols[inside - 1].astype(np.int64) << 32) | symbols[inside].astype(np.int64)
+    known = joints()
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    first[inside[known[at] != key]] = True
+    starts = np.flatnonzero(first)
+    return np.diff(np.r_[starts, len(symbols)]), np.searchsorted(ends, starts, side="right")
+
+
+def merge_rounds(symbols: np.ndarray, sizes: np.ndarray, table: PairTable, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Merged symbols of all words, one after another, and how many each word has; words have a symbol at least.
+
+    ``level`` counts how often what is left of long words was cut anew; each level runs twice the rounds of the one before.
+    """
+    words = len(sizes)
+    sizes, owner = _stretches(symbols, sizes, (lambda: table.later_joints) if level else (lambda: table.joints))
     word = np.repeat(np.arange(len(sizes)), sizes)
-    done_symbols, done_words = [], []
+    done_symbols, done_words, rounds = [], [], 0
     while len(symbols):
+        if rounds == 32 << level:
+            length = np.bincount(word, minlength=len(sizes))
+            long = length[word] > LONG
+            if long.any():
+                which = np.flatnonzero(length > LONG)
+                merged, counts = merge_rounds(symbols[long], length[which], table, level + 1)
+                done_symbols.append(merged)
+                done_words.append(np.repeat(which, counts))
+                symbols, word = symbols[~long], word[~long]
+                if not len(symbols):
+                    break
+        rounds += 1
         row = np.full(len(symbols), len(table.rank) - 1)
         inside = np.flatnonzero(word[1:] == word[:-1])
         row[inside] = table.find(symbols[inside], symbols[inside + 1])
@@ -92,10 +152,10 @@ def merge_rounds(symbols: np.ndarray, sizes: np.ndarray, table: PairTable) -> tu
         keep[chosen + 1] = False
         symbols, word = symbols[keep], word[keep]
     if not done_words:
-        return np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
+        return np.zeros(0, np.int64), np.zeros(words, np.int64)
     symbols, word = np.concatenate(done_symbols), np.concatenate(done_words)
     order = np.argsort(word, kind="stable")
-    return symbols[order], np.bincount(word, minlength=len(sizes))
+    return symbols[order], np.bincount(owner[word], minlength=words)
 
 
 def _without_conflicts(chosen, symbols, word, row, rank, table):
@@ -317,11 +377,17 @@ class PieceCoder(WordCoder):
             if p[:k] in symbol and p[k:] in symbol
         ]
         left, right, score, merged = (np.array(x) for x in zip(*pairs, strict=True))
-        self.table = PairTable(left, right, np.unique(score, return_inverse=True)[1], merged)
         self.start = np.arange(CODE_POINTS) + size + CODE_POINTS
         for text, i in normal.items():
             if len(text) == 1:
                 self.start[ord(text)] = i
+        joints = [
+            (ord(p[k - 1]), ord(p[k])) for p in normal for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol
+        ]
+        self.table = PairTable(left, right, np.unique(score, return_inverse=True)[1], merged, self.start[np.array(joints)], lambda: (
+            (_ends(p[:k], symbol), _begins(p[k:], symbol))
+            for p in normal for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol
+        ))
         self.size = size
         self.byte_ids = np.zeros(256, np.int64)
         for i, b in byte_of.items():
@@ -463,7 +529,9 @@ class ByteCoder(WordCoder):
             import regex
 
             self.cut = regex.compile(self.CUT_FOLDED + "| ").findall
-            self.table = PairTable(*np.array([(vocab[a], vocab[b], k, vocab[a + b]) for k, (a, b) in enumerate(merges)]).T)
+            joints = [(vocab[a[-1]], vocab[b if b in (b[0], b[0] + self.suffix) else b[0]]) for a, b in merges]
+            rules = np.array([(vocab[a], vocab[b], k, vocab[a + b]) for k, (a, b) in enumerate(merges)])
+            self.table = PairTable(*rules.T, np.array(joints), lambda: ((_ends(a, vocab), _begins(b, vocab)) for a, b in merges))
             self.inner = np.array([vocab[c] for c in letters])
             self.last = np.array([vocab[c + self.suffix] for c in letters])
         else:

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by vectorised merge rounds (see ``merging``).
 
 NULL and empty texts have no ids and decode to the empty text. Repeated rows are encoded each. A very long
-word costs a round for each distinct pair rank in it; other words leave the rounds before. Strings that look
+word is cut where no piece can reach across, and its parts are merged in the same rounds. Strings that look
 like control pieces are ordinary text. An empty table gives an empty table.
 """
 

@@ -47,6 +47,37 @@ def test_piece_coder_equals_the_library(piece_path):
         assert mine.decode(np.array(ids)) == lib.decode(ids)
 
 
+LONG_WORDS = {"letters": "abcdefghijklmnopqrstuvwxyz", "frequent": "etaoinshr", "few": "the", "one": "a", "strange": "aé漢字😀\u0301b0"}
+
+
+@pytest.mark.parametrize("kind", LONG_WORDS)
+def test_words_without_end_equal_the_library(piece_path, kind):
+    """Words far beyond the length at which they are cut, beside short ones and cut anew in later rounds."""
+    import sentencepiece
+    import tokenizers
+
+    rng = random.Random(kind)
+    texts = ["".join(rng.choice(LONG_WORDS[kind]) for _ in range(n)) for n in (1, 63, 64, 65, 66, 500, 30_000)]
+    texts += [" ".join(texts[:6]), "the " + texts[5] + " end"]
+    assert parts(*PieceCoder(common.read_file(piece_path)).encode(texts)) == sentencepiece.SentencePieceProcessor(model_file=piece_path).encode(texts)
+    path = common.vocabulary("word_bpe_49k.json")
+    lib = tokenizers.Tokenizer.from_file(path)
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert parts(*ByteCoder(common.read_file(path).decode()).encode(texts)) == want
+
+
+def test_a_word_of_a_million_letters_takes_few_rounds(piece_path):
+    rng = random.Random(4)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    mine = PieceCoder(common.read_file(piece_path))
+    looked = []
+    find = mine.table.find
+    mine.table.find = lambda left, right: looked.append(len(left)) or find(left, right)
+    ids, counts = mine.encode([word])
+    assert mine.decode(ids) == word and counts.tolist() == [len(ids)]
+    assert sum(looked) < 40 * len(word)
+
+
 def test_memory_of_words_does_not_change_ids(piece_path):
     mine = PieceCoder(common.read_file(piece_path))
     texts = strange(300, 3)
