@@ -79,6 +79,39 @@ def products(weights: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]
     return run
 
 
+def pair_products(centre: np.ndarray, spread: np.ndarray):
+    """For each column ``a`` (as fit) six runs of sums against every column ``b``, over the rows that have both.
+
+    They are the number of rows, the sums of a, of a squared, of b, of b squared, and of the product.
+    """
+
+    def run(batches):
+        width, total = len(centre), None
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, width)
+            there = np.isfinite(x)
+            z = np.where(there, (x - centre) / spread, 0.0)
+            there = there.astype(float)
+            one, two = z.T @ there, (z * z).T @ there
+            own = np.stack([there.T @ there, one, two, one.T, two.T, z.T @ z], axis=1)
+            total = own if total is None else total + own
+        yield from in_blocks({} if total is None else {a: total[a].ravel() for a in range(width)})
+
+    return run
+
+
+def pair_correlations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reducer: rows (place, other, r); NULL where the common rows of two columns have no deviation in one of them."""
+    for fit, sums in add_up(batches).items():
+        n, s_a, q_a, s_b, q_b, both = sums.reshape(6, -1)
+        rows = np.maximum(n, 1.0)
+        var_a, var_b = q_a / rows - (s_a / rows) ** 2, q_b / rows - (s_b / rows) ** 2
+        known = (var_a > 1e-13) & (var_b > 1e-13)
+        r = (both / rows - s_a * s_b / rows**2) / np.sqrt(np.where(known, var_a * var_b, 1.0))
+        columns = [pa.array([fit] * len(n), pa.int32()), pa.array(range(len(n)), pa.int32()), pa.array(np.clip(r, -1, 1), mask=~known)]
+        yield pa.RecordBatch.from_arrays(columns, ["place", "other", "r"])
+
+
 def square(triangle: np.ndarray) -> np.ndarray:
     """The whole symmetric matrix."""
     width = int((np.sqrt(8 * len(triangle) + 1) - 1) / 2)

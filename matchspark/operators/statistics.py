@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matchspark.functions import moments as P
+from matchspark.operators.importance import ROWS, scales
 from matchspark.plans.quantiles import exact_quantiles
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -34,8 +36,16 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return stats.join(exact_quantiles(long, ["name"], "value", QUARTILES), "name", "left")
 
 
+FEW = 16
+"""Up to so many columns the pairs are aggregates of one generated method; beyond, sums of products travel."""
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson matrix in long form from one aggregation."""
+    """Pearson matrix in long form, each pair over the rows that have both; NULL where one has no deviation there."""
+    return _by_aggregates(df, columns) if len(columns) <= FEW else _by_products(df, columns)
+
+
+def _by_aggregates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     flat = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     rows = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"{a}|{b}").alias("r"))
@@ -43,6 +53,19 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return flat.select(F.inline(F.array(*rows)))
 
 
+def _by_products(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A task adds up six matrices of columns squared and sends a stripe for each column, so the columns share the reducing.
+
+    Values are scaled by their mean and deviation first (one aggregate, two numbers a column come to the driver). NaN and
+    infinite values count as missing.
+    """
+    clean = df.select(*[F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).alias(c) for c in columns])
+    sums = clean.select(F.array(*columns).alias("x")).mapInArrow(P.pair_products(*scales(clean, columns)), ROWS)
+    found = sums.repartition("fit").mapInArrow(P.pair_correlations, "place int, other int, r double")
+    names = F.array(*[F.lit(c) for c in columns])
+    return found.select(F.get(names, F.col("place")).alias("a"), F.get(names, F.col("other")).alias("b"), "r")
+
+
 def correlated_drop(matrix: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Of each pair above the threshold the column with the higher mean |r| (tie: the second)."""
     strength = matrix.groupBy("a").agg(F.avg(F.abs("r")).alias("mean_abs"))

@@ -44,6 +44,19 @@ def corr_matrix(spark, folder):
     return rounded(S.correlations(corr_source(spark, folder), CORR))
 
 
+WIDE = ["fthg", "ftag", "hs", "as_", "hst", "ast", "hc", "ac", "hy", "ay", "hr", "ar", "b1_h", "b1_d", "b1_a", "b2_h", "b2_d", "b2_a",
+        "ou_over", "ou_under"]
+
+
+@query(
+    "corr_wide",
+    fx_sql(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})')} AS r FROM m" for a in WIDE for b in WIDE)),
+)
+def corr_wide(spark, folder):
+    """All match figures and odds, more columns than one generated method holds."""
+    return rounded(S.correlations(contests(spark, folder), WIDE))
+
+
 @query(
     "corr_drop",
     fx_sql(

@@ -4,12 +4,14 @@ import datetime
 import math
 import random
 
+import pandas as pd
 import pytest
 from fixtures_small import SCHEMA, match, random_rows
 from pyspark.sql import functions as F
 
 from matchspark.operators import monitor as M
 from matchspark.operators import ratings as R
+from matchspark.operators import statistics as ST
 from matchspark.operators import windows as W
 from matchspark.operators.team_view import team_view
 from matchspark.plans import prior
@@ -57,6 +59,29 @@ def test_weighted_mean_reaches_back_as_far_as_its_span(spark, span):
         assert expected is None or abs(r.ewm_points - expected) < 1e-9
 
 
+def test_correlations_of_many_columns(spark):
+    """118 columns with gaps, a constant, an empty one, one far from zero, NaN and infinity; equal on every partitioning."""
+    rng = random.Random(8)
+    columns = [f"c{i}" for i in range(118)]
+    rows = []
+    for _ in range(300):
+        base = rng.gauss(0, 1)
+        row = [base * (i % 7) + rng.gauss(0, 1) if rng.random() > 0.1 else None for i in range(118)]
+        row[3], row[4], row[5] = 7.0, None, 1e9 + rng.gauss(0, 1)
+        row[6] = rng.choice([float("nan"), float("inf"), 1.0, 2.0, None])
+        rows.append(row)
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns))
+    got = {(r.a, r.b): r.r for r in ST.correlations(df, columns).collect()}
+    want = pd.DataFrame(rows, columns=columns, dtype=float).replace(float("inf"), float("nan")).corr()
+    assert len(got) == 118 * 118
+    for (a, b), value in got.items():
+        assert (value is None) == math.isnan(want[a][b]), (a, b)
+        assert value is None or abs(value - want[a][b]) < 1e-6
+    other = {(r.a, r.b): r.r for r in ST.correlations(df.repartition(5), columns).collect()}
+    assert all(v is None and other[k] is None or abs(v - other[k]) < 1e-9 for k, v in got.items())
+    assert ST.correlations(df.limit(0), columns).filter("r IS NOT NULL").count() == 0
+
+
 @pytest.mark.parametrize("alpha", [0.05, 0.5, 1.0])
 def test_decayed_mean_of_long_keys_with_gaps(spark, alpha):
     """One key of 900 rows (many blocks), one that has only NULLs, values of both signs, no arrays in the plan."""
