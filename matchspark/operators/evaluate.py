@@ -183,3 +183,15 @@ def stable_features(stable: DataFrame, min_stability: float = 0.5, min_importanc
 def consensus(votes: DataFrame, least: int = 3) -> DataFrame:
     """Features chosen by at least ``least`` methods."""
     return votes.groupBy("feature").agg(F.count_distinct("method").alias("votes")).filter(F.col("votes") >= least)
+
+
+def best_experiment(rows: DataFrame, keys: Sequence[str], min_train: int = 500, min_valid: int = 100) -> DataFrame:
+    """The experiment of each key with the smallest log loss, then the highest accuracy, then the first name.
+
+    Only experiments with ``min_train`` training and ``min_valid`` validation rows compete, all of them where a key has none
+    such (``restricted`` is false then). A NULL log loss loses against every other, NULL counts are too few.
+    """
+    enough = F.coalesce((F.col("train_rows") >= min_train) & (F.col("valid_rows") >= min_valid), F.lit(False))
+    rank = F.struct(~enough, F.col("log_loss").isNull(), "log_loss", -F.col("accuracy"), "experiment")
+    picked = rows.groupBy(*keys).agg(F.min_by(F.struct("experiment", "train_rows", "valid_rows", "log_loss", enough.alias("restricted")), rank).alias("b"))
+    return picked.select(*keys, "b.*")

@@ -85,3 +85,16 @@ def balanced_weights(rows: DataFrame, label: str, keys: list[str] | None = None)
         sizes = sizes.withColumn("_n", sizes.agg(F.sum("_nc")).scalar()).withColumn("_k", sizes.agg(F.count("*")).scalar())
     weights = sizes.select(*keys, label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("class_weight"))
     return rows.join(weights, [*keys, label])
+
+
+def training_weights(
+    rows: DataFrame, label: str, half_life: float | None, keys: list[str] | None = None, age: str = "season_age"
+) -> DataFrame:
+    """Adds class_weight, recency_weight and their product ``weight``, by which a fit counts a row.
+
+    Classes are balanced by row numbers, before the recency; rows with a NULL label can't be learnt from and leave, as do those
+    with a NULL key.
+    """
+    known = rows.filter(F.col(label).isNotNull())
+    both = balanced_weights(recency_weights(known, half_life, age), label, keys)
+    return both.withColumn("weight", F.col("class_weight") * F.col("recency_weight"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,6 +86,29 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 30) ->
     return df.groupBy(*keys, index.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def histogram_overlay(df: DataFrame, keys: Sequence[str], value: str, second: Column, bins: int = 30) -> DataFrame:
+    """Two populations of each key in the same bins: counts and shares of the rows where ``second`` is false and true.
+
+    Bins are equal, between the smallest and largest value of the key in both populations, the last one closed; a key with
+    one value has bin 0 only. NULL and NaN values and rows of neither population are left out; the share of an
+    empty population is NULL.
+    """
+    x = F.col(value).cast("double")
+    rows = df.select(*keys, x.alias("_x"), second.alias("_second")).filter("_x IS NOT NULL AND NOT isnan(_x) AND _second IS NOT NULL")
+    sides = {"first": ~F.col("_second"), "second": F.col("_second")}
+    bounds = rows.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), *[F.count_if(c).alias(f"_all_{n}") for n, c in sides.items()])
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    place = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(0)
+    bounds = bounds.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    met = rows.join(bounds, same) if keys else rows.crossJoin(F.broadcast(bounds))
+    counted = met.groupBy(*keys, place.cast("int").alias("bin"), *[f"_all_{n}" for n in sides]).agg(
+        *[F.count_if(c).alias(f"n_{n}") for n, c in sides.items()]
+    )
+    shares = [(F.col(f"n_{n}") / F.nullif(F.col(f"_all_{n}"), F.lit(0))).alias(f"share_{n}") for n in sides]
+    return counted.select(*keys, "bin", *[f"n_{n}" for n in sides], *shares)
+
+
 def group_quartiles(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     bounds = df.groupBy(*keys).agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"))
     return bounds.join(exact_quantiles(df, keys, value, QUARTILES), list(keys))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchspark.operators import evaluate as E
@@ -215,6 +216,28 @@ def best_by_selection(spark, folder):
     )
 
 
+@query(
+    "best_restricted",
+    sc_sql(
+        f"""SELECT league, b.* FROM (SELECT league, arg_min({{'experiment': experiment, 'train_rows': train_rows, 'valid_rows': rows,
+        'log_loss': log_loss, 'restricted': ok}}, (NOT ok, log_loss, -accuracy, experiment)) AS b FROM (SELECT *, train_rows >= 500 AND rows >= 100 AS ok
+        FROM ({LEADER}) JOIN (SELECT league, concat(league, '-', season) AS experiment, CAST(coalesce(sum(count(*)) OVER (PARTITION BY league
+        ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS train_rows FROM sc GROUP BY league, season)
+        USING (experiment)) GROUP BY league)""",
+        METRIC_CTE,
+    ),
+)
+def best_restricted(spark, folder):
+    """The best season of each league, of those with enough rows before it and in it."""
+    sizes = scored(spark, folder).groupBy("league", "season").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("league").orderBy("season").rowsBetween(Window.unboundedPreceding, -1)
+    trained = sizes.select(
+        "league", F.concat_ws("-", "league", "season").alias("experiment"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("train_rows")
+    )
+    rows = experiments(spark, folder).withColumnRenamed("rows", "valid_rows").join(trained, "experiment")
+    return E.best_experiment(rows, ["league"])
+
+
 @query(
     "promote_decision",
     sc_sql(

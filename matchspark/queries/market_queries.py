@@ -124,6 +124,24 @@ def recency_weights(spark, folder):
     return rounded(L.recency_weights(aged, 2.0))
 
 
+@query(
+    "training_weights",
+    fx_sql(
+        f"""SELECT match_id, {r("n / (k * CAST(nc AS DOUBLE))")} AS class_weight,
+        {r("pow(0.5, ((SELECT max(age) FROM aged) - age) / 4.0)")} AS recency_weight,
+        {r("n / (k * CAST(nc AS DOUBLE)) * pow(0.5, ((SELECT max(age) FROM aged) - age) / 4.0)")} AS weight FROM aged
+        JOIN (SELECT league, ftr, count(*) AS nc FROM m GROUP BY ALL) USING (league, ftr)
+        JOIN (SELECT league, count(*) AS n, count(DISTINCT ftr) AS k FROM m GROUP BY ALL) USING (league)""",
+        """aged AS (SELECT match_id, league, ftr, CAST(dense_rank() OVER (PARTITION BY league ORDER BY season) - 1 AS INT) AS age FROM m)""",
+    ),
+)
+def training_weights(spark, folder):
+    """Class balance times recency."""
+    df = contests(spark, folder)
+    aged = df.join(season_ages(df), ["league", "season"]).select("match_id", "league", "ftr", "season_age")
+    return rounded(L.training_weights(aged, "ftr", 4.0, ["league"]).select("match_id", "class_weight", "recency_weight", "weight"))
+
+
 @query(
     "balanced_weights",
     fx_sql(

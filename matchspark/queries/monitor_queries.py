@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from matchspark.operators import monitor as M
+from matchspark.operators import statistics as S
 from matchspark.queries.registry import query, rounded
 from matchspark.queries.sql_parts import r
 from matchspark.sources.tables import events
@@ -207,3 +208,19 @@ def monitor_alerts(spark, folder):
 )
 def monitor_report(spark, folder):
     return rounded(M.report(events(spark, folder), 500, 50), 4)
+
+
+@query(
+    "drift_overlay",
+    ev_sql(
+        f"""SELECT target, bin, count(*) FILTER (WHERE ts < '2024-01-23') AS n_first, count(*) FILTER (WHERE ts >= '2024-01-23') AS n_second,
+        {r("count(*) FILTER (WHERE ts < '2024-01-23') / max(n1)")} AS share_first, {r("count(*) FILTER (WHERE ts >= '2024-01-23') / max(n2)")} AS share_second
+        FROM (SELECT *, CASE WHEN hi > lo THEN CAST(least(floor((predicted - lo) / ((hi - lo) / 30)), 29) AS INT) ELSE 0 END AS bin FROM ev JOIN (
+        SELECT target, min(predicted) AS lo, max(predicted) AS hi, nullif(count(*) FILTER (WHERE ts < '2024-01-23'), 0) AS n1,
+        nullif(count(*) FILTER (WHERE ts >= '2024-01-23'), 0) AS n2 FROM ev WHERE predicted IS NOT NULL GROUP BY target) USING (target))
+        WHERE predicted IS NOT NULL GROUP BY target, bin"""
+    ),
+)
+def drift_overlay(spark, folder):
+    """Predictions of the last days in the same bins as those before."""
+    return rounded(S.histogram_overlay(events(spark, folder), ["target"], "predicted", F.expr("ts >= timestamp'2024-01-23'")))

@@ -86,3 +86,13 @@ def inner_split(spark, folder):
 )
 def ts_folds(spark, folder):
     return S.ts_folds(contests(spark, folder)).select("match_id", "fold")
+
+
+MIXED = "(((match_id % 2147483648) * 2654435761) % 4294967296 >> 16)"
+
+
+@query("random_folds", fx_sql(f"SELECT match_id, CAST({MIXED} % 5 AS INT) AS fold, {MIXED} % 1000 < 800 AS is_train FROM m"))
+def random_folds(spark, folder):
+    """Shuffled five folds and a random split of 80 to 20."""
+    rows = contests(spark, folder).select("match_id")
+    return S.random_split(rows.withColumn("fold", S.key_fold(F.col("match_id"), 5)), "match_id", 0.8)

@@ -9,6 +9,8 @@ import pytest
 from fixtures_small import SCHEMA, match, random_rows
 from pyspark.sql import functions as F
 
+from matchspark.operators import evaluate as E
+from matchspark.operators import labels as L
 from matchspark.operators import monitor as M
 from matchspark.operators import ratings as R
 from matchspark.operators import statistics as ST
@@ -82,6 +84,36 @@ def test_correlations_of_many_columns(spark):
     assert ST.correlations(df.limit(0), columns).filter("r IS NOT NULL").count() == 0
 
 
+def test_overlay_of_two_populations(spark):
+    """A key with one value, one with an empty side, a NULL key, rows without value, the highest value in the last bin."""
+    rows = [("a", float(v), v % 2 == 0) for v in range(11)] + [("a", None, True), ("a", float("nan"), False), ("a", 3.0, None)]
+    rows += [("one", 5.0, True), ("one", 5.0, False), ("side", 1.0, True), ("side", 2.0, True), (None, 4.0, False)]
+    df = spark.createDataFrame(rows, "k string, v double, late boolean")
+    got = {(r.k, r.bin): tuple(r)[2:] for r in ST.histogram_overlay(df, ["k"], "v", F.col("late"), 5).collect()}
+    assert got["a", 0] == (1, 1, 1 / 5, 1 / 6) and got["a", 4] == (1, 2, 1 / 5, 2 / 6)
+    assert sum(v[0] for (k, _), v in got.items() if k == "a") == 5 and sum(v[1] for (k, _), v in got.items() if k == "a") == 6
+    assert got["one", 0] == (1, 1, 1.0, 1.0) and got[None, 0] == (1, 0, 1.0, None)
+    assert got["side", 0] == (0, 1, None, 0.5) and got["side", 4] == (0, 1, None, 0.5)
+    assert sum(r.n_second for r in ST.histogram_overlay(df, [], "v", F.col("late")).collect()) == 9
+    assert ST.histogram_overlay(df.limit(0), ["k"], "v", F.col("late")).count() == 0
+
+
+def test_best_experiment_falls_back_to_all(spark):
+    rows = [("x", "small", 10, 100, 0.1, 0.9), ("x", "big", 500, 100, 0.5, 0.5), ("x", "tie", 600, 200, 0.5, 0.6), ("x", "none", 900, 900, None, 0.9),
+            ("y", "b", 1, 1, 0.2, 0.5), ("y", "a", 1, None, 0.2, 0.5)]
+    df = spark.createDataFrame(rows, "k string, experiment string, train_rows int, valid_rows int, log_loss double, accuracy double")
+    got = {r.k: (r.experiment, r.restricted) for r in E.best_experiment(df, ["k"]).collect()}
+    assert got == {"x": ("tie", True), "y": ("a", False)}
+
+
+def test_weights_of_training_rows(spark):
+    rows = [("H", 0), ("H", 2), ("H", 2), ("A", 2), (None, 2)]
+    df = spark.createDataFrame(rows, "ftr string, season_age int")
+    got = sorted((r.ftr, r.season_age, r.weight) for r in L.training_weights(df, "ftr", 1.0).collect())
+    assert got == [("A", 2, 2.0), ("H", 0, 4 / 6 / 4), ("H", 2, 4 / 6), ("H", 2, 4 / 6)]
+    assert {r.weight for r in L.training_weights(df.filter("season_age = 0"), "ftr", None).collect()} == {1.0}
+
+
 @pytest.mark.parametrize("alpha", [0.05, 0.5, 1.0])
 def test_decayed_mean_of_long_keys_with_gaps(spark, alpha):
     """One key of 900 rows (many blocks), one that has only NULLs, values of both signs, no arrays in the plan."""
