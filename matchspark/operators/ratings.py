@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.functions.elo import HOME_EDGE, rate_batches
+from matchspark.functions.standing import place_batches
 from matchspark.operators import market as M
 from matchspark.operators import windows as W
-from matchspark.operators.team_view import by_match, points, team_view
+from matchspark.operators.team_view import by_match, team_view
 from matchspark.plans.prior import CELL, sums_of_last, totals_before, totals_before_cell
 from matchspark.sources.fixtures import ORDER_KEY
 
@@ -34,53 +35,34 @@ def prior_rank(matches: DataFrame) -> DataFrame:
     """Place of both sides in the season's table just before the match.
 
     Teams count once they have been seen in the season; order is points, goal difference, goals,
-    name. The table at the start of each day comes from per-day totals; matches are shuffled once
-    on (league, season, date), meet that table there, and the running in-day changes are
-    windowed and folded inside the same partitioning, so no wider row is ever shuffled.
+    name. The table at the start of each day comes from per-day totals. Its rows and the day's narrow matches
+    are shuffled once on (league, season, date) and streamed in order in Arrow batches; a task holds the table of
+    one day, and no match is multiplied by the teams of its season.
     """
     day = ["league", "season", "match_date"]
     gained = ["p", "gd", "g", "n"]
     team_day = (
-        team_view(matches, stats=W.GOALS).groupBy(*day, "team")
+        team_view(matches.dropna(subset=day), stats=W.GOALS).groupBy(*day, "team")
         .agg(F.expr("sum(bigint(points)) AS p"), F.expr("sum(bigint(gf - ga)) AS gd"),
              F.expr("sum(bigint(gf)) AS g"), F.count("*").alias("n"))
     )
-    by_name = Window.partitionBy("league", "season").orderBy("team")
-    roster = team_day.select("league", "season", "team").distinct().withColumn("slot", F.row_number().over(by_name))
+    roster = team_day.select("league", "season", "team").distinct()
     grid = (
         team_day.select(*day).distinct().join(roster, ["league", "season"])
         .join(team_day, [*day, "team"], "left").fillna(0, gained)
         .repartition("league", "season", "team")
     )
-    before = totals_before_cell(grid, ["league", "season", "team", "slot"], ["match_date"],
-                                {k: F.col(k) for k in gained}).fillna(0, gained)
-    table = before.groupBy(*day).agg(F.collect_list(F.struct("team", "slot", *gained)).alias("_table"))
-    in_day = Window.partitionBy(*day).orderBy("home_team", "away_team", "match_id")
-    base = matches.select("league", "season", *ORDER_KEY, "fthg", "ftag").withColumn("k", F.row_number().over(in_day))
-    # merge join: the day stays the partitioning of everything after it
-    opened = base.join(table.hint("merge"), day).select(
-        *day, "match_id", "k", "home_team", "away_team", "fthg", "ftag", F.explode("_table").alias("s")
+    before = totals_before_cell(grid, ["league", "season", "team"], ["match_date"], {k: F.col(k) for k in gained}).fillna(0, gained)
+    none = {c: F.lit(None).cast("bigint").alias(c) for c in (*gained, "match_id", "fthg", "ftag")}
+    opening = before.select(
+        *day, F.lit(0).alias("kind"), F.col("team").alias("home_team"), F.lit("").alias("away_team"), none["match_id"], none["fthg"], none["ftag"], *gained
     )
-    own = "CASE s.team WHEN home_team THEN fthg WHEN away_team THEN ftag END"
-    other = "CASE s.team WHEN home_team THEN ftag WHEN away_team THEN fthg END"
-    opened = opened.select(
-        *day, "match_id", "k", "s.slot", "s.p", "s.gd", "s.g", "s.n",
-        F.expr("CASE s.team WHEN home_team THEN 1 WHEN away_team THEN 0 END AS is_home"),
-        F.expr(f"{own} AS own"), F.expr(f"{other} AS other"),
+    played = matches.dropna(subset=day).select(
+        *day, F.lit(1).alias("kind"), "home_team", "away_team", "match_id",
+        F.col("fthg").cast("bigint").alias("fthg"), F.col("ftag").cast("bigint").alias("ftag"), *[none[c] for c in gained],
     )
-    earlier = Window.partitionBy(*day, "slot").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    gains = {"p": points(F.col("own"), F.col("other")), "gd": F.col("own") - F.col("other"), "g": F.col("own"),
-             "n": F.lit(1)}
-    standing = opened.select(
-        *day, "match_id", "k", "slot", "is_home",
-        *[(F.col(c) + F.coalesce(F.sum(F.when(F.col("own").isNotNull(), e)).over(earlier), F.lit(0))).alias(c)
-          for c, e in gains.items()],
-    )
-    seen = (F.col("n") > 0) | F.col("is_home").isNotNull()
-    # slots follow the team names, the last tie-break
-    by_place = Window.partitionBy(*day, "k").orderBy(seen.desc(), F.desc("p"), F.desc("gd"), F.desc("g"), "slot")
-    placed = standing.select(*day, "match_id", "is_home", F.row_number().over(by_place).alias("season_rank_prior"))
-    ranked = by_match(placed.filter(F.col("is_home").isNotNull()), ["season_rank_prior"])
+    rows = opening.unionByName(played).repartition(*day).sortWithinPartitions(*day, "kind", "home_team", "away_team", "match_id")
+    ranked = rows.mapInArrow(place_batches, "match_id bigint, home_season_rank_prior int, away_season_rank_prior int")
     return ranked.withColumn("season_rank_diff", F.col("away_season_rank_prior") - F.col("home_season_rank_prior"))
 
 
