@@ -234,16 +234,21 @@ def season_ages(matches: DataFrame) -> DataFrame:
     return seasons.withColumn("season_age", F.dense_rank().over(order) - 1)
 
 
-def promoted_proxy(matches: DataFrame) -> DataFrame:
-    """Side with under 15 earlier matches outside the first season; age of the season."""
-    counted = totals_before(sides(matches, []), TEAM, [CELL], ORDER_KEY, {"played": _one()})
-    both = by_match(counted, ["played"], ["league", "season"])
-    aged = both.join(season_ages(matches), ["league", "season"])
+def promoted_proxy(matches: DataFrame, least: int = 15) -> DataFrame:
+    """Side with under 15 earlier matches outside the first season; age of the season.
+
+    Only the first 15 rows of a side have fewer before them, so only these (dropped down to 15 in each task before the
+    shuffle) are numbered and marked; no other row leaves its place but for the mark of its match.
+    """
+    first = Window.partitionBy(*TEAM).orderBy("match_date", "season", "home_team", "away_team", "match_id")
+    early = team_view(matches, stats=[]).withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= least)
+    marks = early.groupBy("match_id").agg(F.max("is_home").alias("_home"), F.max(1 - F.col("is_home")).alias("_away"))
+    aged = matches.select("match_id", "league", "season").join(season_ages(matches), ["league", "season"]).join(marks, "match_id", "left")
     later = F.col("season_age") > 0
     return aged.select(
         "match_id",
-        F.when((F.col("home_played") < 15) & later, 1).otherwise(0).alias("is_home_promoted_proxy"),
-        F.when((F.col("away_played") < 15) & later, 1).otherwise(0).alias("is_away_promoted_proxy"),
+        F.when((F.col("_home") == 1) & later, 1).otherwise(0).alias("is_home_promoted_proxy"),
+        F.when((F.col("_away") == 1) & later, 1).otherwise(0).alias("is_away_promoted_proxy"),
         "season_age",
     )
 
