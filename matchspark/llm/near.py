@@ -218,6 +218,13 @@ def components(ties: DataFrame) -> DataFrame:
             return labels.select(F.col("a").alias("id"), "component")
 
 
+def with_sizes(members: DataFrame) -> DataFrame:
+    """Members (node, id) with the size ``n`` of their node, NULL where they are alone: one row for each member, whatever
+    the sizes are. ``members`` should be stored, as it is read twice."""
+    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return common.join_groups(members, common.stored(sizes), "node", "n", how="left")
+
+
 def candidate_ties(reps: DataFrame, percent: int) -> DataFrame:
     """Ties (a, b) between sets that may be similar; ``reps`` has id, sketch and brief."""
     first, every, cut = layout(percent)
@@ -229,9 +236,7 @@ def candidate_ties(reps: DataFrame, percent: int) -> DataFrame:
 
     def large_of(members: DataFrame) -> DataFrame:
         """Members of large nodes; small nodes are compared."""
-        members = common.stored(members)
-        sizes = common.stored(members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-        members = common.stored(common.join_groups(members, sizes, "node", "n"))
+        members = common.stored(with_sizes(common.stored(members)))
         leaves = members.filter(F.col("n") <= SMALL).select("node", "id").join(reps.select("id", "brief"), "id")
         out.append(leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_tie_node(cut), "a bigint, b bigint"))
         return members.filter(F.col("n") > SMALL)
