@@ -87,6 +87,47 @@ def products(weights: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]
     return run
 
 
+def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each column of ``x`` the number of values in this task, their mean and the sum of squares around it."""
+    total = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+        there = ~np.isnan(x)
+        with np.errstate(invalid="ignore"):
+            # around a value of the column, so that equal values have exactly no deviation
+            start = np.where(there.any(axis=0), x[there.argmax(axis=0), np.arange(x.shape[1])], 0.0)
+            n, off = there.sum(axis=0).astype(float), np.where(there, x - start, 0.0)
+            step = off.sum(axis=0) / np.maximum(n, 1.0)
+            own = n, start + step, (np.where(there, off - step, 0.0) ** 2).sum(axis=0)
+        total = own if total is None else met(total, own)
+    if total is not None:
+        columns = [pa.array(range(len(total[0])), pa.int32()), *[pa.array(v) for v in total]]
+        yield pa.RecordBatch.from_arrays(columns, ["place", "n", "mean", "squares"])
+
+
+def met(one: tuple, two: tuple) -> tuple:
+    """Moments of two lots of values together."""
+    with np.errstate(invalid="ignore"):
+        n = one[0] + two[0]
+        share = two[0] / np.maximum(n, 1.0)
+        step = np.where((one[0] > 0) & (two[0] > 0), two[1] - one[1], 0.0)
+        mean = np.where(one[0] > 0, one[1] + step * share, two[1])
+        return n, mean, one[2] + two[2] + step * step * one[0] * share
+
+
+def all_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reducer: one row for each column."""
+    found: dict[int, tuple] = {}
+    for batch in batches:
+        for place, *own in zip(*[batch.column(c).to_pylist() for c in ("place", "n", "mean", "squares")], strict=True):
+            found[place] = met(found[place], own) if place in found else tuple(own)
+    if found:
+        columns = [pa.array(list(found), pa.int32()), *[pa.array([float(v[k]) for v in found.values()]) for k in range(3)]]
+        yield pa.RecordBatch.from_arrays(columns, ["place", "n", "mean", "squares"])
+
+
 def pair_products(centre: np.ndarray, spread: np.ndarray):
     """For each column ``a`` (as fit) six runs of sums against every column ``b``, over the rows that have both.
 
