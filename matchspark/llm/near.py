@@ -4,8 +4,11 @@
    each (``brief``), and the whole of the first ``ROOTS`` (``sketch``). Equal sets are one class from here on.
 2. Trees: each root branches by a minwise token of its own, a node that is larger than ``SMALL`` branches again by one
    that its path chooses (now and then by two). Small nodes are compared exhaustively on the brief tokens, equal ones
-   as one; what may be similar is tied together. A node that is still large after ``DEPTH`` levels is tied as a whole.
-   All sets are in the first trees; those that meet a large root are in all. ``layout`` takes as many trees, and a
+   as one; what may be similar is tied together. In a large node, sets that differ from one of ``NODE_PIVOTS`` pivots in at
+   most ``CLOSE`` tokens leave it: unequal tokens obey the triangle inequality, so whatever may be similar to such a set is
+   within the sum of both differences of the pivot, and is tied to it. So near copies in great number don't branch on.
+   A node that is still large after ``DEPTH`` levels is tied as a whole.
+   All sets are in the first trees; those that stay in a large root are in all. ``layout`` takes as many trees, and a
    cut of the comparison so low, that by its binomial figures a pair of the given similarity is lost with chance
    ``LOSS`` at most, even where no node ever gets small. With so many tokens the cut lies at about three quarters, so
    texts that only share a passage are hardly ever tied.
@@ -36,6 +39,8 @@ DEPTH = 8
 COORDINATES = 256
 ROOTS = 64
 SMALL = 2048
+NODE_PIVOTS = 4
+CLOSE = 32
 LOSS = 1e-6
 GROUP_SHINGLES = 2_000_000
 GROUP_WORK = 2_000_000_000
@@ -176,6 +181,45 @@ def _tie_node(cut: int):
     return run
 
 
+def _equal_tokens(least: int):
+    """For each member and each pivot of its node the number of equal tokens, where there are ``least`` or more."""
+
+    def run(batches):
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column("brief").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            pivots = batch.column("pivots")
+            at = np.repeat(np.arange(len(rows)), np.diff(pivots.offsets.to_numpy()))
+            flat = pivots.flatten()
+            own = np.frombuffer(b"".join(flat.field("brief").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            equal = np.count_nonzero(rows[at] == own, axis=1)
+            keep = np.flatnonzero(equal >= least)
+            at, ids = pa.array(at[keep]), flat.field("id").take(pa.array(keep))
+            columns = [batch.column("node").take(at), batch.column("id").take(at), ids, pa.array(equal[keep], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "id", "pivot", "equal"])
+
+    return run
+
+
+def near_pivots(large: DataFrame, reps: DataFrame, cut: int) -> tuple[DataFrame, DataFrame]:
+    """Ties (a, b) to the pivots of large nodes, and the members (node, id) that stay in them. ``large`` has node, id and n.
+
+    Two sets of a node that agree on ``cut`` tokens both stay, or ties connect them.
+    """
+    spots = large.groupBy("node", F.pmod(F.xxhash64("id"), F.lit(NODE_PIVOTS)).alias("k")).agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    pivots = spots.join(reps.select("id", "brief"), "id").groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("id", "brief")).alias("pivots"))
+    rows = common.join_groups(with_brief(large.select("node", "id"), reps), common.stored(pivots), "node", "n")
+    met = common.stored(rows.select("node", "id", "brief", "pivots").mapInArrow(_equal_tokens(cut - CLOSE), "node bigint, id bigint, pivot bigint, equal int"))
+    near = F.col("equal") >= COORDINATES - CLOSE
+    stay = large.select("node", "id").join(met.filter(near).select("node", "id").distinct(), ["node", "id"], "left_anti")
+    met = met.withColumn("spot", F.xxhash64("node", "pivot"))
+    reach = met.groupBy("spot").agg(F.min(F.when(near, F.col("equal"))).alias("least"), F.count(F.lit(1)).alias("n"))
+    wide = common.join_groups(met.filter(F.col("equal") < cut), common.stored(reach.filter(F.col("least") < COORDINATES)), "spot", "n")
+    tied = met.filter(F.col("equal") >= cut).select("id", "pivot").unionByName(
+        wide.filter(F.col("equal") + COORDINATES - F.col("least") >= cut).select("id", "pivot")
+    )
+    return tied.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), stay
+
+
 def _set(text: str) -> np.ndarray:
     return np.unique(shingle_hashes([text])[0])
 
@@ -219,10 +263,19 @@ def components(ties: DataFrame) -> DataFrame:
 
 
 def with_sizes(members: DataFrame) -> DataFrame:
-    """Members (node, id) with the size ``n`` of their node, NULL where they are alone: one row for each member, whatever
-    the sizes are. ``members`` should be stored, as it is read twice."""
-    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return common.join_groups(members, common.stored(sizes), "node", "n", how="left")
+    """Members (node, id) with the size ``n`` of their node, NULL where they are alone: every join makes one row for each
+    row it gets, whatever the sizes are. ``members`` should be stored, as it is read twice."""
+    sizes = common.stored(members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    hot = sizes.orderBy(F.desc("n"), "node").limit(common.HOT_GROUPS).withColumnRenamed("n", "hot")
+    marked = common.stored(members.join(F.broadcast(hot), "node", "left"))
+    rest = marked.filter("hot IS NULL").drop("hot").join(sizes.hint("merge"), "node", "left")
+    return marked.filter("hot IS NOT NULL").withColumnRenamed("hot", "n").unionByName(rest.select("node", "id", "n"))
+
+
+def with_brief(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """Members (node, id) with the brief tokens of their set, which are joined once for each set and not once for each node."""
+    nodes = members.groupBy("id").agg(F.collect_list("node").alias("nodes"))  # at most one for each tree and way down
+    return nodes.join(reps.select("id", "brief"), "id").select("id", "brief", F.explode("nodes").alias("node"))
 
 
 def candidate_ties(reps: DataFrame, percent: int) -> DataFrame:
@@ -234,13 +287,22 @@ def candidate_ties(reps: DataFrame, percent: int) -> DataFrame:
         nodes = F.array(*[F.xxhash64(F.lit(t), F.get("sketch", F.lit(t))) for t in trees])
         return rows.select("id", F.explode(nodes).alias("node"))
 
-    def large_of(members: DataFrame) -> DataFrame:
+    def compared(members: DataFrame) -> DataFrame:
         """Members of large nodes; small nodes are compared."""
         members = common.stored(with_sizes(common.stored(members)))
-        leaves = members.filter(F.col("n") <= SMALL).select("node", "id").join(reps.select("id", "brief"), "id")
+        leaves = with_brief(members.filter(F.col("n") <= SMALL), reps)
         out.append(leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_tie_node(cut), "a bigint, b bigint"))
         return members.filter(F.col("n") > SMALL)
 
+    def large_of(members: DataFrame) -> DataFrame:
+        """Members of nodes that are large even without those close to a pivot."""
+        large = compared(members)
+        if large.isEmpty():
+            return large
+        ties, stay = near_pivots(large, reps, cut)
+        out.append(ties)
+        return compared(stay)
+
     large = large_of(roots(reps, range(first)))
     if every > first and not large.isEmpty():
         met = common.stored(large.select("id").distinct())
@@ -251,7 +313,7 @@ def candidate_ties(reps: DataFrame, percent: int) -> DataFrame:
         one, other = (F.pmod(F.xxhash64("node", F.lit(way)), F.lit(COORDINATES)).cast("int") for way in (level, -level))
         second = F.when(F.pmod("node", F.lit(100)) < SECOND_BRANCH, other)
         branch = F.explode(F.array_distinct(F.filter(F.array(one, second), lambda c: c.isNotNull())))
-        wide = large.select("node", "id", branch.alias("c")).join(reps.select("id", "brief"), "id")
+        wide = with_brief(large, reps).select("node", "id", "brief", branch.alias("c"))
         large = large_of(wide.select("id", F.xxhash64("node", "c", F.substring(F.col("brief"), F.col("c") + 1, F.lit(1))).alias("node")))
     if not large.isEmpty():
         pivots = common.stored(large.groupBy("node").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")))
@@ -345,17 +407,56 @@ class _Block:
         return np.bincount(self.owner[at], minlength=len(self.ids))
 
 
+class _Stars:
+    """Members of a cell around its pivots. Members link pivots, and pivots linked so are one part: they are connected for
+    good, so one link to a part, and one pair of the bridging similarity with another part, stand for all."""
+
+    HELD = 1_000_000
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]) -> None:
+        self.block, self.ids, self.parts = _Block(ids, sets), np.array(ids, np.int64), _Parts(len(ids))
+        self.held: list[tuple[int, int, np.ndarray]] = []
+        self.size = 0
+
+    def meet(self, own: int, values: np.ndarray, percent: int, bridge: int):
+        """Links (member, pivot, True) of one member: to itself where it is a pivot, and to one pivot of each part."""
+        shared = self.block.shared(values)
+        either = self.block.sizes + len(values) - shared
+        close = np.flatnonzero(100 * shared >= bridge * either)
+        link = (100 * shared[close] >= percent * either[close]) | (self.ids[close] == own)
+        linked, others = close[link], close[~link]
+        of = self.parts.of[linked]
+        ends = set(self.ids[np.unique(of)].tolist()) | set(self.ids[linked[self.ids[linked] == own]].tolist())
+        if len(of) and (of != of[0]).any():
+            self.parts.tie(int(linked[0]), linked[1:])
+        if len(others):
+            others = others[np.unique(self.parts.of[others], return_index=True)[1]]
+            self.held.append((own, int(linked[0]) if len(linked) else -1, others))
+            self.size += len(others)
+        return [(own, end, True) for end in ends]
+
+    def bridges(self):
+        """Pairs (member, pivot, False) of the bridging similarity whose parts are not one so far."""
+        of, out = self.parts.of, []
+        for own, at, others in self.held:
+            theirs = np.unique(of[others])
+            out += [(own, end, False) for end in self.ids[theirs[theirs != (of[at] if at >= 0 else -1)]].tolist()]
+        self.held, self.size = [], 0
+        return out
+
+
 def _near_pivots(percent: int, bridge: int):
-    """Pairs (member, pivot) of at least the bridging similarity; pivots come first in each cell."""
+    """Pairs (member, pivot) that stand for those of at least the bridging similarity; pivots come first in each cell."""
 
     def run(batches):
-        cell, ids, sets, block = None, [], [], None
+        cell, ids, sets, stars = None, [], [], None
         for batch in batches:
             out = []
             columns = [batch.column(c).to_pylist() for c in ("cell", "pivot", "id", "text")]
             for here, is_pivot, own, text in zip(*columns, strict=True):
                 if here != cell:
-                    cell, ids, sets, block = here, [], [], None
+                    out += stars.bridges() if stars else []
+                    cell, ids, sets, stars = here, [], [], None
                 values = _set(text)
                 if is_pivot:
                     ids.append(own)
@@ -363,14 +464,18 @@ def _near_pivots(percent: int, bridge: int):
                     continue
                 if not ids:
                     continue
-                block = block or _Block(ids, sets)
-                shared = block.shared(values)
-                either = block.sizes + len(values) - shared
-                close = 100 * shared >= bridge * either
-                for k in np.flatnonzero(close).tolist():
-                    out.append((own, ids[k], bool(own == ids[k] or 100 * shared[k] >= percent * either[k])))
+                stars = stars or _Stars(ids, sets)
+                out += stars.meet(own, values, percent, bridge)
+                if stars.size > _Stars.HELD:
+                    out += stars.bridges()
             if out:
-                a, b, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c)], ["id", "pivot", "link"])
+                yield _pairs(out)
+        if stars and (out := stars.bridges()):
+            yield _pairs(out)
 
     return run
+
+
+def _pairs(rows: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+    a, b, link = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(link)], ["id", "pivot", "link"])
