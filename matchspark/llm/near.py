@@ -287,34 +287,35 @@ def candidate_ties(reps: DataFrame, percent: int) -> DataFrame:
         nodes = F.array(*[F.xxhash64(F.lit(t), F.get("sketch", F.lit(t))) for t in trees])
         return rows.select("id", F.explode(nodes).alias("node"))
 
-    def compared(members: DataFrame) -> DataFrame:
+    def compared(members: DataFrame, reps: DataFrame) -> DataFrame:
         """Members of large nodes; small nodes are compared."""
         members = common.stored(with_sizes(common.stored(members)))
         leaves = with_brief(members.filter(F.col("n") <= SMALL), reps)
         out.append(leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_tie_node(cut), "a bigint, b bigint"))
         return members.filter(F.col("n") > SMALL)
 
-    def large_of(members: DataFrame) -> DataFrame:
-        """Members of nodes that are large even without those close to a pivot."""
-        large = compared(members)
+    def large_of(members: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of nodes that are large even without those close to a pivot, and the sets that large nodes have."""
+        large = compared(members, reps)
         if large.isEmpty():
-            return large
-        ties, stay = near_pivots(large, reps, cut)
+            return large, reps
+        some = common.stored(reps.join(large.select("id").distinct(), "id", "left_semi"))
+        ties, stay = near_pivots(large, some, cut)
         out.append(ties)
-        return compared(stay)
+        return compared(stay, some), some
 
-    large = large_of(roots(reps, range(first)))
+    large, some = large_of(roots(reps, range(first)), reps)
     if every > first and not large.isEmpty():
-        met = common.stored(large.select("id").distinct())
-        large = large.unionByName(large_of(roots(reps.select("id", "sketch").join(met, "id"), range(first, every))))
+        some = common.stored(some.join(large.select("id").distinct(), "id", "left_semi"))
+        large = large.unionByName(large_of(roots(some, range(first, every)), some)[0])
     for level in range(1, DEPTH):
         if large.isEmpty():
             break
         one, other = (F.pmod(F.xxhash64("node", F.lit(way)), F.lit(COORDINATES)).cast("int") for way in (level, -level))
         second = F.when(F.pmod("node", F.lit(100)) < SECOND_BRANCH, other)
         branch = F.explode(F.array_distinct(F.filter(F.array(one, second), lambda c: c.isNotNull())))
-        wide = with_brief(large, reps).select("node", "id", "brief", branch.alias("c"))
-        large = large_of(wide.select("id", F.xxhash64("node", "c", F.substring(F.col("brief"), F.col("c") + 1, F.lit(1))).alias("node")))
+        wide = with_brief(large, some).select("node", "id", "brief", branch.alias("c"))
+        large, some = large_of(wide.select("id", F.xxhash64("node", "c", F.substring(F.col("brief"), F.col("c") + 1, F.lit(1))).alias("node")), some)
     if not large.isEmpty():
         pivots = common.stored(large.groupBy("node").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")))
         tied = common.join_groups(large.select("node", F.col("id").alias("a")), pivots, "node", "n")
