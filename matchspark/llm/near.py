@@ -5,7 +5,7 @@
 2. Trees: each root branches by a minwise token of its own, a node that is larger than ``SMALL`` branches again by one
    that its path chooses (now and then by two). Small nodes are compared exhaustively on the brief tokens, equal ones
    as one; what may be similar is tied together. In a large node, sets that differ from one of ``NODE_PIVOTS`` pivots in at
-   most ``CLOSE`` tokens leave it: unequal tokens obey the triangle inequality, so whatever may be similar to such a set is
+   most ``CLOSE`` tokens leave it (at the first roots): unequal tokens obey the triangle inequality, so whatever may be similar to such a set is
    within the sum of both differences of the pivot, and is tied to it. So near copies in great number don't branch on.
    A node that is still large after ``DEPTH`` levels is tied as a whole.
    All sets are in the first trees; those that stay in a large root are in all. ``layout`` takes as many trees, and a
@@ -307,7 +307,7 @@ def candidate_ties(reps: DataFrame, percent: int) -> DataFrame:
     large, some = large_of(roots(reps, range(first)), reps)
     if every > first and not large.isEmpty():
         some = common.stored(some.join(large.select("id").distinct(), "id", "left_semi"))
-        large = large.unionByName(large_of(roots(some, range(first, every)), some)[0])
+        large = large.unionByName(compared(roots(some, range(first, every)), some))  # close copies have left
     for level in range(1, DEPTH):
         if large.isEmpty():
             break
@@ -315,7 +315,7 @@ def candidate_ties(reps: DataFrame, percent: int) -> DataFrame:
         second = F.when(F.pmod("node", F.lit(100)) < SECOND_BRANCH, other)
         branch = F.explode(F.array_distinct(F.filter(F.array(one, second), lambda c: c.isNotNull())))
         wide = with_brief(large, some).select("node", "id", "brief", branch.alias("c"))
-        large, some = large_of(wide.select("id", F.xxhash64("node", "c", F.substring(F.col("brief"), F.col("c") + 1, F.lit(1))).alias("node")), some)
+        large = compared(wide.select("id", F.xxhash64("node", "c", F.substring(F.col("brief"), F.col("c") + 1, F.lit(1))).alias("node")), some)
     if not large.isEmpty():
         pivots = common.stored(large.groupBy("node").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")))
         tied = common.join_groups(large.select("node", F.col("id").alias("a")), pivots, "node", "n")
